@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import quality_rules
+from . import quality_rules, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
+    "op3_token_counts": token_counts.op3,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.oracle_sql(),
