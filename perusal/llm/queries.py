@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import quality_rules, token_counts
+from . import jaccard_join, quality_rules, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
     "op3_token_counts": token_counts.op3,
+    "op5_jaccard_join": jaccard_join.op5,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.oracle_sql(),
+    "op5_jaccard_join": jaccard_join.oracle_sql(),
 }
