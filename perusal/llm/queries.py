@@ -1,11 +1,14 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import jaccard_join, quality_rules, token_counts
+from . import decontaminate, jaccard_join, mixture, quality_rules, token_counts, token_output
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
     "op3_token_counts": token_counts.op3,
+    "op4_decontaminate": decontaminate.op4,
     "op5_jaccard_join": jaccard_join.op5,
+    "op6_mixture": mixture.op6,
+    "op7_token_output": token_output.op7,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.oracle_sql(),
