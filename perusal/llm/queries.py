@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import decontaminate, jaccard_join, mixture, quality_rules, token_counts, token_output
+from . import crf, decontaminate, jaccard_join, mixture, quality_rules, token_counts, token_output, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5,
     "op6_mixture": mixture.op6,
     "op7_token_output": token_output.op7,
+    "op8_language_crf": crf.op8,
+    "op10_toxicity": toxicity.op10,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.oracle_sql(),
