@@ -30,10 +30,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -146,7 +147,10 @@ class Rule:
                 continue
             total = less + less * self.b // self.a
             differ = total * (self.b - self.a) // (self.a + self.b)
-            spare = differ // 3 + 1
+            # room for half as many empty parts again as the least set leaves on average, up to a third of differ
+            spare = 1
+            while spare <= differ // 3 and spare < 1 + 1.5 * (parts := differ + 1 + spare) * exp(-(2**g) / parts):
+                spare += 1
             out.append((g, differ + 1 + spare, spare))
         return out
 
@@ -259,13 +263,19 @@ def dual(x: Tree, y: Tree, rule: Rule, known: Joined, shift: int) -> Iterator[tu
                 stack.append((k - 1, u, v))
 
 
-def signatures(batches: Iterator[pd.Series], n: int, rule: Rule) -> Iterator[pd.DataFrame]:
-    """(fp, n, keys) of each text."""
+def signatures(batches: Iterator[pd.Series], n: int, rule: Rule, seen_limit: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """(fp, n, keys) of each text; keys are null where this task gave them for an equal set
+    already, so copies send no more rows than there are tasks."""
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         texts, out = list(b), []
         for at in range(0, len(texts), 256):
-            sets = shingle_sets(texts[at : at + 256], n)
-            out += [(fingerprint(s), len(s), rule.keys(s) if len(s) else np.empty(0, np.int64)) for s in sets]
+            for s in shingle_sets(texts[at : at + 256], n):
+                fp = fingerprint(s)
+                out.append((fp, len(s), None if (fp, len(s)) in seen or not len(s) else rule.keys(s)))
+                seen.add((fp, len(s)))
+        if len(seen) > seen_limit:
+            seen.clear()
         yield pd.DataFrame(out, columns=["fp", "n", "keys"])
 
 
@@ -316,7 +326,7 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, rule: Rule, scrat
     """Links that connect whatever links connect, of members (fp, n, cluster, doc_id)."""
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).alias("blocks"), F.min("fp").alias("hub"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    placed = docs.withColumnRenamed("doc_id", "id").join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "blocks", "block", "hub", "fp", "n", "text")
+    placed = docs.withColumnRenamed("doc_id", "id").hint("merge").join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "blocks", "block", "hub", "fp", "n", "text")
     placed = scratch.keep(placed, "placed")
     # each block with itself and its cluster's hub, which ties the blocks of near copies together
     hubs = placed.filter("fp = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -355,13 +365,15 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return signatures(batches, n, rule)
 
-    signed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.fp", "s.n", "s.keys"), "signed")
+    keyed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.fp", "s.n", "s.keys"), "keyed")
+    signed = scratch.keep(keyed.select("doc_id", "fp", "n"), "signed")
     filled = signed.filter("n > 0")
-    # keys that several fingerprints share, as stars
-    rows = filled.select(F.explode("keys").alias("key"), "fp").distinct()
-    hubs = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("key", "a")
-    ties = rows.join(hubs, "key").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    clusters = components(scratch.keep(ties, "ties"), scratch).withColumnsRenamed({"node": "fp", "root": "cluster"})
+    # keys that several fingerprints share, as stars around the least of them: one exchange
+    rows = keyed.select(F.explode("keys").alias("key"), F.col("fp").alias("b")).repartition("key")
+    ties = rows.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b"))).filter("a <> b").select("a", "b").distinct()
+    ties = scratch.keep(ties, "ties")
+    scratch.drop(keyed)
+    clusters = components(ties, scratch).withColumnsRenamed({"node": "fp", "root": "cluster"})
     sets = filled.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
     members = scratch.keep(sets.join(clusters, "fp"), "members")
     links = cluster_links(members, docs, n, rule, scratch, block_sets, block_shingles)
@@ -374,6 +386,21 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     return got.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each group that links make, one row stays, the
+    one with the least doc_id. Rows without words stay all; so do rows without an id, as no id
+    tells which of a group's would go. Of rows with equal ids one stays if they are linked.
+    """
+    groups = jaccard_groups(df, n, threshold, doc_id, text)
+    stay = groups.filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id")).distinct()
+    rows = df.filter(F.col(doc_id).isNotNull())
+    kept = rows.join(stay, F.col(doc_id) == F.col("__id"), "left_semi")
+    again = kept.groupBy(doc_id).agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
+    if again:  # repeated ids: keep one row of each id and text
+        kept = kept.dropDuplicates([doc_id, text])
+    return kept.unionByName(df.filter(F.col(doc_id).isNull()))
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
 
