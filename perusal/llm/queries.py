@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import crf, decontaminate, jaccard_join, mixture, quality_rules, token_counts, token_output, toxicity
+from . import crf, decontaminate, html_text, jaccard_join, mixture, quality_rules, token_counts, token_output, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixture": mixture.op6,
     "op7_token_output": token_output.op7,
     "op8_language_crf": crf.op8,
+    "op9_html_text": html_text.op9,
     "op10_toxicity": toxicity.op10,
 }
 ORACLE_SQL = {
