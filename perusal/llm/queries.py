@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can."""
 
-from . import crf, decontaminate, html_text, jaccard_join, mixture, quality_rules, token_counts, token_output, toxicity
+from . import crf, decontaminate, html_text, jaccard_join, mixture, quality_rules, secret_scan, token_counts, token_output, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_token_counts": token_counts.op3,
     "op4_decontaminate": decontaminate.op4,
