@@ -4,13 +4,12 @@ Exact for any rational threshold. The work is spread in four steps:
 
 1. Shingle sets. Each text gives its set of 64-bit shingle hashes; a fingerprint of the set
    stands for all documents with equal sets, so copies collapse before anything is compared.
-2. Routing. Sets of similar size that link differ in few shingles: at most D, for sizes up to
-   a band's limit. Shingles are dealt by hash to a few more than D parts, so linked sets agree
-   on a part as a whole. A row (part key, fingerprint) goes out per part, for the set's own
-   size band and, near the low end of a band, for the one below. An aggregate with map-side
-   combine finds the keys that several fingerprints share. A shingle that many documents have
-   makes no hot key: all of a part must agree.
-3. Clusters. Fingerprints that share a key are tied to the key's least one (a star: rows grow
+2. Routing. Sets of similar size that link differ in at most D shingles, for sizes up to a
+   band's limit. Shingles are dealt by hash to 1.6 (D + 1) parts, so linked sets agree as a
+   whole on more than a third of them. Every part is a key; keys are counted, and each set
+   keeps just the D + 1 rarest of its own, one of which it shares with all it links to. So
+   passages that many documents have make keys that are counted, not compared.
+3. Clusters. Fingerprints that share such a key are tied to the key's least one (a star: rows grow
    with members, not pairs); connected components of the stars are the clusters. Every link
    lies within one cluster.
 4. Signature trees. A cluster is dealt to blocks of bounded weight. A block's sets become the
@@ -30,7 +29,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from math import exp
 
 import numpy as np
 import pandas as pd
@@ -126,6 +124,11 @@ def fingerprint(s: np.ndarray) -> int:
     return int((mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))).astype(np.int64))
 
 
+def edge(g: int) -> int:
+    """Least size of band g: bands double every two."""
+    return 2 ** (g // 2) if g % 2 == 0 else -(-(2 ** (g // 2)) * 141421356 // 100000000)
+
+
 class Rule:
     """Link rule: b * |x & y| >= a * |x | y|."""
 
@@ -137,41 +140,43 @@ class Rule:
         return -(-self.a * total // (self.a + self.b))
 
     def bands(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, parts, spare) for a set of ``size`` > 0. Band g is for links whose lesser set has
-        2^g to 2^(g+1) - 1 shingles; a set is in its own band and, if it can link there, the one below."""
-        own = size.bit_length() - 1
+        """(band, differ, parts) for a set of ``size`` > 0. Band g is for links whose lesser set has
+        edge(g) to edge(g + 1) - 1 shingles; a set is in its own band and in those below where it
+        can link. differ: most shingles that the sets of such a link do not share."""
+        g = 2 * (size.bit_length() - 1)
+        g += size >= edge(g + 1)
         out = []
-        for g in (own, own - 1):
-            less = 2 ** (g + 1) - 1
-            if g < 0 or self.a * size > self.b * less:
-                continue
-            total = less + less * self.b // self.a
-            differ = total * (self.b - self.a) // (self.a + self.b)
-            # room for half as many empty parts again as the least set leaves on average, up to a third of differ
-            spare = 1
-            while spare <= differ // 3 and spare < 1 + 1.5 * (parts := differ + 1 + spare) * exp(-(2**g) / parts):
-                spare += 1
-            out.append((g, differ + 1 + spare, spare))
+        while g >= 0 and self.a * size <= self.b * (less := edge(g + 1) - 1):
+            if less >= edge(g):
+                total = less + less * self.b // self.a
+                differ = total * (self.b - self.a) // (self.a + self.b)
+                out.append((g, differ, -(-8 * (differ + 1) // 5)))
+            g -= 1
         return out
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Routing keys of a set, one per part that has shingles.
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Routing keys of a set, one per part that has shingles; how many rare ones are enough; and
+        how many there are in the key's band.
 
-        Of differ + 1 + spare parts, linked sets agree on 1 + spare at least, so on one with
-        shingles if either set leaves up to ``spare`` parts empty. A set that leaves more sends
-        a key for its empty parts too; the other set of such a link then does the same, or has
-        few empty parts and agrees on a filled one.
+        Sets of a link differ in at most ``differ`` parts. With K filled parts they share K - differ
+        keys or more, so in any order of all keys the first shared one is among the first
+        differ + 1 of either set. A set with too few filled parts for that sends keys for empty
+        ones too, and all of them count.
         """
-        out = []
+        keys, enough, have = [], [], []
         h = mix(s + np.uint64(0x2545F4914F6CDD1D))
-        for g, parts, spare in self.bands(len(s)):
+        for g, differ, parts in self.bands(len(s)):
             part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.intp)
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, part, h)
             filled = np.bincount(part, minlength=parts)
-            keys = mix(sums + filled.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(g << 32)))
-            out.append(keys if (filled == 0).sum() > spare else keys[filled > 0])
-        return np.concatenate(out).astype(np.int64)
+            k = mix(sums + filled.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(g << 32)))
+            few = (filled > 0).sum() <= differ
+            k = k if few else k[filled > 0]
+            keys.append(k)
+            enough.append(np.full(len(k), len(k) if few else differ + 1, np.int32))
+            have.append(np.full(len(k), len(k), np.int32))
+        return np.concatenate(keys).astype(np.int64), np.concatenate(enough), np.concatenate(have)
 
 
 class Tree:
@@ -264,7 +269,7 @@ def dual(x: Tree, y: Tree, rule: Rule, known: Joined, shift: int) -> Iterator[tu
 
 
 def signatures(batches: Iterator[pd.Series], n: int, rule: Rule, seen_limit: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """(fp, n, keys) of each text; keys are null where this task gave them for an equal set
+    """(fp, n, keys, enough, have) of each text (see Rule.keys); keys are null where this task gave them for an equal set
     already, so copies send no more rows than there are tasks."""
     seen: set[tuple[int, int]] = set()
     for b in batches:
@@ -272,11 +277,11 @@ def signatures(batches: Iterator[pd.Series], n: int, rule: Rule, seen_limit: int
         for at in range(0, len(texts), 256):
             for s in shingle_sets(texts[at : at + 256], n):
                 fp = fingerprint(s)
-                out.append((fp, len(s), None if (fp, len(s)) in seen or not len(s) else rule.keys(s)))
+                out.append((fp, len(s), *((None, None, None) if (fp, len(s)) in seen or not len(s) else rule.keys(s))))
                 seen.add((fp, len(s)))
         if len(seen) > seen_limit:
             seen.clear()
-        yield pd.DataFrame(out, columns=["fp", "n", "keys"])
+        yield pd.DataFrame(out, columns=["fp", "n", "keys", "enough", "have"])
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -361,17 +366,24 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     scratch, rule = Scratch(df.sparkSession), Rule(*threshold)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    @F.pandas_udf("fp long, n long, keys array<long>")
+    @F.pandas_udf("fp long, n long, keys array<long>, enough array<int>, have array<int>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return signatures(batches, n, rule)
 
-    keyed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.fp", "s.n", "s.keys"), "keyed")
+    keyed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "keyed")
     signed = scratch.keep(keyed.select("doc_id", "fp", "n"), "signed")
     filled = signed.filter("n > 0")
-    # keys that several fingerprints share, as stars around the least of them: one exchange
-    rows = keyed.select(F.explode("keys").alias("key"), F.col("fp").alias("b")).repartition("key")
-    ties = rows.withColumn("a", F.first("b").over(Window.partitionBy("key").orderBy("b"))).filter("a <> b").select("a", "b").distinct()
-    ties = scratch.keep(ties, "ties")
+    # keys that several sets share, with how many: one exchange of all keys
+    rows = keyed.select("fp", F.inline(F.arrays_zip("keys", "enough", "have"))).withColumnRenamed("keys", "key")
+    rows = rows.repartition("key").dropDuplicates(["key", "fp", "enough"])
+    shared = rows.withColumn("sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
+    # of each set only as many of its rarest keys as are enough; keys of its own come first
+    own = Window.partitionBy("fp", "enough", "have")
+    shared = shared.withColumns({"rank": F.row_number().over(own.orderBy("sets", "key")), "common": F.count("*").over(own)})
+    rare = scratch.keep(shared.filter("rank + have - common <= enough").select("key", "fp"), "rare")
+    # what shares a rare key is tied to the least of those that do
+    hubs = rare.groupBy("key").agg(F.min("fp").alias("a"))
+    ties = scratch.keep(rare.join(hubs, "key").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "ties")
     scratch.drop(keyed)
     clusters = components(ties, scratch).withColumnsRenamed({"node": "fp", "root": "cluster"})
     sets = filled.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
