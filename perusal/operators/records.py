@@ -98,7 +98,7 @@ def acs_articles(raw: DataFrame, drop_errata: bool = False) -> DataFrame:
     after = F.concat(F.regexp_replace("volume", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\s*,?\s*(\d+)"))
     raw_date = F.coalesce(*[text.found(info, p) for p in (r"(?m)Publication Date[^:]*:\s*(.+?)$", r"(?m)Publication Date\s*(.+?)$", r"(?m)(?:Web|Print)[^:]*:\s*(.+?)$")])
     rows = rows.select(
-        "acs_code", "v", "i", "pos", doi.alias("doi"), "title", "authors", "abstract", F.col("volume").alias("item_volume"), F.regexp_extract(info, after, 1).alias("item_issue"),
+        "acs_code", "v", "i", "pos", doi.alias("doi"), "title", "authors", "abstract", F.col("volume").alias("item_volume"), F.call_function("regexp_extract", info, after, F.lit(1)).alias("item_issue"),
         F.regexp_extract(info, r"(\d+[-–]\d+)", 1).alias("pages"), F.coalesce(dates.normal_date(text.strip(raw_date)), F.lit("")).alias("date"), text.absolute("image", "https://pubs.acs.org").alias("toc_image_url"),
     ).filter("doi IS NOT NULL AND title <> ''")
     if drop_errata:

@@ -20,6 +20,7 @@ def write_reports(df: DataFrame) -> int:
     for r in df.select("path", "md").toLocalIterator():
         path = jvm.org.apache.hadoop.fs.Path(r.path)
         fs = path.getFileSystem(conf)
+        fs.setWriteChecksum(False)  # readers edit reports; a checksum file beside one would then forbid to read it
         part = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         out.write(bytearray(r.md.encode()))
