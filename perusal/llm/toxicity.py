@@ -120,7 +120,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     judge = [rows[i] for i in range(0, len(rows), 3)]
     toxic, plain = [t for t, y in learn if y], [t for t, y in learn if not y]
     if not toxic or not plain:
-        return Model(b"", b"", (-30.0 if not toxic else 30.0, 0.0, 0.0, 0.0, 0.0))
+        # too few of one label to learn from: every text gets the label that there is
+        return Model(b"", b"", (30.0 if any(y for _, y in texts) and not plain else -30.0, 0.0, 0.0, 0.0, 0.0))
     marked = marked_words(toxic, plain)
     # the most telling words go last: matches nearest the end of a dictionary cost least
     tail = f" {' '.join(sorted(marked, key=lambda w: (marked[w], w)))} ".encode()[-BACKGROUND:]
