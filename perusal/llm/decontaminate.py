@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, without
-from .jaccard_join import mix, powers
+from .jaccard_join import powers
 
 PASSAGE, STEP, Q, EDITS, SHORTEST = 64, 16, 9, 4, 32
 #: Characters of benchmark text that travel at once, and of documents that are looked at in one step.
 CHUNK, STRIDE = 4_000_000, 2_000_000
 FIELDS = ("item_id", "n_passages", "edits", "start", "stop")
 MATCHES = "array<struct<item_id: long, n_passages: int, edits: int, start: int, stop: int>>"
-_B, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 22
+_B, _SPREAD, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), 20
+_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
 
 
 def normalise(text: str | None) -> str:
@@ -39,14 +40,18 @@ def normalise(text: str | None) -> str:
 
 
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hash of the q-gram at each position that has one."""
+    """Hash of the q-gram at each position that has one. Equal hashes of other q-grams cost a
+    verification, no more."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    inverse = np.uint64(pow(int(_B), -1, 2**64))
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64)) * powers(len(codes), _B), out=sums[1:])
-    return mix((sums[q:] - sums[:-q]) * powers(n, inverse))
+    np.cumsum(codes * powers(len(codes), _B), out=sums[1:])
+    return (sums[q:] - sums[:-q]) * powers(n, _INVERSE)
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
 
 
 class Passages:
@@ -82,7 +87,7 @@ class Passages:
         else:
             self.hash, self.where, self.offset = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.mark = np.zeros(1 << _TABLE_BITS, bool)
-        self.mark[self.hash >> np.uint64(64 - _TABLE_BITS)] = True
+        self.mark[slots(self.hash)] = True
         self.least, self.width = min(self.need, default=1), 2 * (EDITS + 1)
         self.need = np.array(self.need, np.int64)
 
@@ -94,7 +99,7 @@ class Passages:
         h = grams(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
         if not len(h) or not len(self.hash):
             return [[] for _ in texts]
-        hit = self.mark[h >> np.uint64(64 - _TABLE_BITS)]
+        hit = self.mark[slots(h)]
         span = PASSAGE + EDITS
         at = np.flatnonzero(hit)
         dense = np.zeros(len(at), bool)
@@ -136,6 +141,8 @@ def align(passage: str, text: str, first: int, last: int, most: int) -> tuple[in
     """Best (edits, start, stop) of ``passage`` in ``text`` among alignments that begin between
     ``first`` and ``last``, within ``most`` edits; None if there is none. Rows are the passage's
     characters; only diagonals from first - most to last + most are filled."""
+    if (whole := text.find(passage, max(first, 0), max(last - 1, 0) + len(passage))) >= 0:
+        return 0, whole, whole + len(passage)
     lo, hi = first - most, last + most
     far = most + 1
     # cell d stands for text position lo + d + row; (edits, start)
