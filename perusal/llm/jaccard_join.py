@@ -375,7 +375,9 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     filled = signed.filter("n > 0")
     # keys that several sets share, with how many: one exchange of all keys
     rows = keyed.select("fp", F.inline(F.arrays_zip("keys", "enough", "have"))).withColumnRenamed("keys", "key")
-    rows = rows.repartition("key").dropDuplicates(["key", "fp", "enough"])
+    # one sort serves both: equal rows of several tasks follow one another, and a key's rows are together
+    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
+    rows = rows.repartition("key").withColumn("before", before).filter("before IS NULL OR before <> fp").drop("before")
     shared = rows.withColumn("sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
     # of each set only as many of its rarest keys as are enough; keys of its own come first
     own = Window.partitionBy("fp", "enough", "have")
