@@ -28,7 +28,7 @@ from .jaccard_join import powers
 
 PASSAGE, STEP, Q, EDITS, SHORTEST = 64, 16, 9, 4, 32
 #: Characters of benchmark text that travel at once, and of documents that are looked at in one step.
-CHUNK, STRIDE = 4_000_000, 2_000_000
+CHUNK, STRIDE = 4_000_000, 262_144
 FIELDS = ("item_id", "n_passages", "edits", "start", "stop")
 MATCHES = "array<struct<item_id: long, n_passages: int, edits: int, start: int, stop: int>>"
 _B, _SPREAD, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), 20

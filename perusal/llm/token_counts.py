@@ -21,7 +21,7 @@ from .common import table, without
 
 ADDED = ("n_bytes", "n_tokens", "over_limit")
 #: Characters that are counted in one step.
-STEP = 2_000_000
+STEP = 500_000
 _compiled: dict = {}
 
 

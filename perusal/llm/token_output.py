@@ -151,7 +151,7 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
                         yield stream.end()
                     last, stream = name, Stream(length, *bases.value[name])
                 for ids in encoded(list(run["text"])):
-                    if stream.add(ids) > 1 << 20:
+                    if stream.add(ids) > 1 << 18:
                         yield stream.pieces(False)
         if stream:
             yield stream.end()
