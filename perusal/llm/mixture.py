@@ -26,7 +26,7 @@ from .permute import permuted
 
 #: Weights of the sources in order of their names, repeating; share of all words that is taken, in per cent; most times of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
-BLOCK, SLOTS, BUCKET_ROWS, SEED = 128, 8192, 50_000, 17
+BLOCK, SLOTS, BUCKET_ROWS, SEED = 128, 8192, 4096, 17
 #: Sources that are accepted: their shares travel to the tasks that draw.
 MOST_SOURCES = 1_000_000
 
