@@ -328,10 +328,12 @@ def _tasks(rows: DataFrame, keys: list[str], n: int, rule: Rule) -> DataFrame:
 
 
 def cluster_links(members: DataFrame, docs: DataFrame, n: int, rule: Rule, scratch: Scratch, block_sets: int, block_shingles: int) -> DataFrame:
-    """Links that connect whatever links connect, of members (fp, n, cluster, doc_id)."""
+    """Links that connect whatever links connect, of members (fp, n, cluster, doc_id, tie)."""
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).alias("blocks"), F.min("fp").alias("hub"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    placed = docs.withColumnRenamed("doc_id", "id").hint("merge").join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "blocks", "block", "hub", "fp", "n", "text")
+    # by id and hash of the text: ids may be null or repeated, and the hash deals them out evenly
+    texts = docs.withColumnsRenamed({"doc_id": "id", "tie": "hash"}).hint("merge")
+    placed = texts.join(placed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tie"))).select("cluster", "blocks", "block", "hub", "fp", "n", "text")
     placed = scratch.keep(placed, "placed")
     # each block with itself and its cluster's hub, which ties the blocks of near copies together
     hubs = placed.filter("fp = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -364,14 +366,14 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     row each. An empty table gives an empty result; other columns are not read.
     """
     scratch, rule = Scratch(df.sparkSession), Rule(*threshold)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
 
     @F.pandas_udf("fp long, n long, keys array<long>, enough array<int>, have array<int>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return signatures(batches, n, rule)
 
-    keyed = scratch.keep(docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "keyed")
-    signed = scratch.keep(keyed.select("doc_id", "fp", "n"), "signed")
+    keyed = scratch.keep(docs.select("doc_id", "tie", sign("text").alias("s")).select("doc_id", "tie", "s.*"), "keyed")
+    signed = scratch.keep(keyed.select("doc_id", "tie", "fp", "n"), "signed")
     filled = signed.filter("n > 0")
     # keys that several sets share, with how many: one exchange of all keys
     rows = keyed.select("fp", F.inline(F.arrays_zip("keys", "enough", "have"))).withColumnRenamed("keys", "key")
@@ -388,7 +390,7 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     ties = scratch.keep(rare.join(hubs, "key").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "ties")
     scratch.drop(keyed)
     clusters = components(ties, scratch).withColumnsRenamed({"node": "fp", "root": "cluster"})
-    sets = filled.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    sets = filled.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("tie", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("tie"))
     members = scratch.keep(sets.join(clusters, "fp"), "members")
     links = cluster_links(members, docs, n, rule, scratch, block_sets, block_shingles)
     # components of the links, named by their least document
