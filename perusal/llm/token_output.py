@@ -122,14 +122,21 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
     def encoded(texts: list[str | None]) -> Iterator[np.ndarray]:
         enc = encoding(data.value, pattern)
         for t in texts:
-            yield np.array([*enc.encode_ordinary(t), end] if t else [], np.uint16)
+            ids = np.empty(0, np.uint16)
+            if t:
+                ids = np.append(enc.encode_to_numpy(t).astype(np.uint16), np.uint16(end))
+            yield ids
+
+    def lengths(texts: list[str | None]) -> list[int]:
+        enc = encoding(data.value, pattern)
+        return [len(enc.encode_to_numpy(t)) + 1 if t else 0 for t in texts]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, at = None, 0
         for b in batches:
             for name, run in by_part(b):
                 last, at = name, at if name == last else 0
-                n = np.array([len(x) for x in encoded(list(run["text"]))], np.int64)
+                n = np.array(lengths(list(run["text"])), np.int64)
                 yield pd.DataFrame({"part": name, "row": at + np.arange(len(run)), "doc_id": run["doc_id"].astype("Int64"), "n": n})
                 at += len(run)
 
@@ -162,7 +169,8 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
     pieces = pieces.withColumn("slot", slot).withColumn("shard", F.expr(f"slot div {shard_slots}"))
     shards = max(1, -(-total // shard_slots))
     # partitioned by shard, the pieces of a slot are together already: no further exchange
-    whole = pieces.repartitionByRange(shards, "shard").groupBy("shard", "slot").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
+    # by hash of the shard, which is a range of slots: a range exchange would sample, and so tokenise, once more
+    whole = pieces.repartition(shards, "shard").groupBy("shard", "slot").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
     fill = np.full(length, end, "<u2").tobytes()
     record = F.concat(*[F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])), F.lit(fill)])
     record = F.substring(record, 1, 2 * length).cast("string")
