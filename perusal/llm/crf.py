@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, without
 
 #: Labelled texts that are fitted at most, and words of each that training reads.
 MOST_TEXTS, MOST_WORDS = 4000, 60
+#: Texts that a label is given even where there are so many labels that MOST_TEXTS would give it fewer.
+LEAST_EACH = 200
 BITS, EPOCHS, RATE, LEXICON = 16, 3, 0.5, 2000
 KNOWN_WORDS, BLOCK = 300_000, 32
 
@@ -222,10 +224,23 @@ def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE, s
 
 
 def sample(df: DataFrame, text: str, label: str, key: str, most: int = MOST_TEXTS) -> list[tuple[str, str]]:
-    """At most ``most`` labelled texts: the first in an order of hashed keys, which is the same in
-    every run. Only as many characters of each are fetched as training can read."""
-    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.substring(text, 1, 12 * MOST_WORDS).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(11)).alias("h"), F.xxhash64(text).alias("g"))
-    return [(r.t, r.y) for r in rows.orderBy("h", "g", "y").limit(most).collect()]
+    """Labelled texts for the fit, drawn label by label, so that every label is learned at any size.
+
+    A label's texts are ranked by their hash, copies counted once, and the labels take turns until
+    there are ``most``; beyond that a label is still given its first LEAST_EACH. Hashes are ranked
+    before a text is fetched, and only as many characters of it as training can read."""
+    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.substring(text, 1, 12 * MOST_WORDS).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(11)).alias("d"), F.xxhash64(F.col(text), F.lit(11)).alias("h"))
+    ranked = rows.groupBy("y", "h").agg(F.min("d").alias("d"))
+    # ranked within 64 parts of a label first, so that a common label is not one task's
+    for part in (F.pmod("h", F.lit(64)), F.lit(0)):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("y", part).orderBy("h"))).filter(F.col("r") <= max(most, LEAST_EACH))
+    turns = sorted(map(tuple, ranked.select("r", "h", "y", "d").collect()))
+    chosen = [x[1:] for i, x in enumerate(turns) if i < most or x[0] <= LEAST_EACH]
+    if not chosen:
+        return []
+    chosen = df.sparkSession.createDataFrame(chosen, "h long, y string, d long")
+    found = rows.join(F.broadcast(chosen), ["h", "y", "d"]).groupBy("h", "y").agg(F.first("t").alias("t")).collect()
+    return [(r.t, r.y) for r in sorted(found, key=lambda r: (r.h, r.y))]
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", words: bool = True) -> DataFrame:

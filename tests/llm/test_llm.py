@@ -334,6 +334,16 @@ def test_crf_marginals_and_accuracy(spark):
     assert crf.identify(odd_docs(spark), crf.fit([])).filter("lang_pred = 'und'").count() == 9 and crf.identify(empty(spark), model).count() == 0
 
 
+def test_crf_sample_has_every_label(spark):
+    rows = [(i, f"word{i} again", "en") for i in range(2000)] + [(None, "same text", "en")] * 50 + [(5000 + i, f"wort{i}", "de") for i in range(30)] + [(6000, "unique", "xx"), (6001, None, "yy"), (6002, "unlabelled", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = crf.sample(df, "text", "lang", "doc_id", most=100)
+    of = {y: [t for t, z in got if z == y] for y in ("en", "de", "xx")}
+    assert sum(map(len, of.values())) == len(got) and of["xx"] == ["unique"] and len(of["de"]) == 30 and len(of["en"]) == len(set(of["en"])) == crf.LEAST_EACH
+    assert got == crf.sample(df.repartition(3), "text", "lang", "doc_id", most=100) and len(crf.sample(df, "text", "lang", "doc_id", most=1500)) == 1500
+    assert crf.sample(empty(spark), "text", "lang", "doc_id") == []
+
+
 def test_held_out(spark):
     got = spark.range(50).select("id", crf.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
