@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
 One zstandard dictionary is built from toxic text, one from ordinary text: both begin with the
-same ordinary windows and end with the words that tell their own side best, found by a
-significance test between the labels. A window of a text is compressed with either; the toxic
-dictionary saves bytes where the window has what toxic text has and ordinary text has not, and
-all else costs the same. Windows overlap and cover whole texts. A text's features are its
-greatest saving and how many windows save; a logistic calibration, fitted on labelled texts
-that the dictionaries have not seen, turns them into a probability, so 0.5 is the threshold.
+same ordinary windows, each language in turn, and the toxic one ends with the units (words, stems
+and endings) that tell it best, found by a significance test between the labels over all texts and
+within each language. A window of a text is compressed with either; the toxic dictionary saves
+bytes where the window has what toxic text has and ordinary text has not, and all else costs about
+the same. Windows overlap and cover whole texts. A text's features are its greatest saving, how
+many windows save, and how many of its words have a unit of the toxic dictionary, which a
+language's common syllables do not blur; a logistic calibration, fitted on labelled texts that the
+dictionaries have not seen, turns them into a probability, so 0.5 is the threshold.
 
 A match costs about three bytes however short, which would hide words of four or five letters.
 Text is therefore spelled with two bytes a letter and six a word boundary before it is
@@ -18,9 +20,11 @@ the fit, not of prediction.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ from .crf import held_out
 #: Labelled texts of each label that are fitted at most, and characters of each.
 MOST_TEXTS, MOST_CHARS = 3000, 20_000
 WINDOW, STEP, BACKGROUND, LEVEL, LEAST_MATCH = 96, 76, 4096, 4, 6
+#: Least and greatest letters of a stem or an ending, and the share of passing units that may be false.
+LEAST_UNIT, MOST_UNIT, FALSE, RATIO = 4, 10, 0.01, 4
 #: Letters' second bytes and the word boundary in the spelling that is compressed.
 _SPELL = [bytes([i, (i * 37 + 11) & 255]) for i in range(256)]
 _SPELL[32] = bytes([1, 2, 3, 4, 5, 6])
@@ -56,16 +62,16 @@ def windows(text: str) -> list[bytes]:
 
 
 class Model:
-    """Both dictionaries and the calibration."""
+    """Both dictionaries, the marked units that the toxic one ends with, and the calibration."""
 
-    def __init__(self, toxic: bytes, plain: bytes, weights: tuple[float, ...] = (0.0,) * 5):
-        self.toxic, self.plain, self.weights, self.ready = toxic, plain, weights, None
+    def __init__(self, toxic: bytes, plain: bytes, marked: frozenset[str] = frozenset(), weights: tuple[float, ...] = (0.0,) * 7):
+        self.toxic, self.plain, self.marked, self.weights, self.ready = toxic, plain, marked, weights, None
 
     def __getstate__(self):
-        return self.toxic, self.plain, self.weights
+        return self.toxic, self.plain, self.marked, self.weights
 
     def __setstate__(self, state):
-        self.toxic, self.plain, self.weights = state
+        self.toxic, self.plain, self.marked, self.weights = state
         self.ready = None
 
     def compressors(self):
@@ -79,26 +85,76 @@ class Model:
         return self.ready
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Greatest saving of a window, the share of windows that save, and how many save much."""
+        """Greatest saving of a window, the share of windows that save, how many save much; how many
+        words have a marked unit, and their share."""
         toxic, plain = self.compressors()
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in map(spell, windows(normalise(text)))])
-        return float(np.clip(saved.max(), -20, 40)), float((saved >= 6).mean()), float(np.log1p((saved >= 10).sum())), float(np.log1p((saved >= 14).sum()))
+        text = normalise(text)
+        saved = np.array([len(plain(w)) - len(toxic(w)) for w in map(spell, windows(text))])
+        counts = Counter(text.split())
+        hits = sum(n for w, n in counts.items() if not self.marked.isdisjoint(units_of(w))) if self.marked else 0
+        return float(np.clip(saved.max(), -20, 40)), float((saved >= 6).mean()), float(np.log1p((saved >= 10).sum())), float(np.log1p((saved >= 14).sum())), float(np.log1p(hits)), 10.0 * hits / max(counts.total(), 1)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, (1.0, *self.features(text))), -30, 30))))
 
 
-def marked_words(toxic: list[str], plain: list[str]) -> dict[str, float]:
-    """Words that toxic texts have more often than ordinary ones, with a log ratio of shares, where
-    the difference is well beyond chance."""
-    a, b = (Counter(w for t in ts for w in set(t.split())) for ts in (toxic, plain))
+def units_of(word: str) -> list[str]:
+    """The word, its stems and its endings; a space marks the word's edge."""
+    sizes = range(LEAST_UNIT, min(len(word), MOST_UNIT + 1))
+    return [f" {word} ", *[f" {word[:k]}" for k in sizes], *[f"{word[-k:]} " for k in sizes]]
+
+
+def units(text: str) -> set[str]:
+    """Units of a normalised text."""
+    return {u for w in set(text.split()) for u in units_of(w)}
+
+
+def tail(a: int, n: int, share: float) -> float:
+    """Probability that ``a`` or more of ``n`` texts are toxic where each is with chance ``share``."""
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(a, n + 1)]
+    top = max(logs)
+    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+
+
+def marked_units(toxic: list[str], plain: list[str]) -> dict[str, float]:
+    """Units that toxic texts have more often than ordinary ones, with a log ratio of shares.
+
+    A unit's chance is the binomial tail given how many texts have it. The units that pass are
+    chosen together (Benjamini-Hochberg, FALSE of them false), so there is no least count: a rare
+    word passes with its stem, or where many rare units are as one-sided as it is."""
+    if not toxic or not plain:
+        return {}
+    a = Counter(u for t in toxic for u in units(t))
+    a = {u: n for u, n in a.items() if n > 1}
+    b = Counter(u for t in plain for u in units(t) if u in a)
+    share, chance = len(toxic) / (len(toxic) + len(plain)), {}
+    for u, n in a.items():
+        if (n, b[u]) not in chance:
+            chance[n, b[u]] = tail(n, n + b[u], share) if n > share * (n + b[u]) else 1.0
+    at = Counter((n, b[u]) for u, n in a.items())
+    limit, rank = 0.0, 0
+    for cell in sorted(at, key=lambda c: chance[c]):
+        rank += at[cell]
+        if chance[cell] <= FALSE * rank / len(a):
+            limit = chance[cell]
     out = {}
-    for w, n in a.items():
-        p, q = n / max(len(toxic), 1), b[w] / max(len(plain), 1)
-        error = (p * (1 - p) / max(len(toxic), 1) + q * (1 - q) / max(len(plain), 1) + 1e-9) ** 0.5
-        if n >= 3 and p - q > 4 * error and p > 2 * q:
-            out[w] = float(np.log((p + 1e-4) / (q + 1e-4)))
-    return out
+    for u, n in a.items():
+        p, q = n / len(toxic), b[u] / len(plain)
+        if chance[n, b[u]] <= limit and p > RATIO * q:
+            out[u] = float(np.log((p + 1e-4) / (q + 1e-4)))
+    # a part of a longer unit that is as telling adds nothing
+    longer = {}
+    for u in out:
+        for k in range(LEAST_UNIT, len(u)):
+            for i in range(len(u) - k + 1):
+                if (v := u[i : i + k]) in out:
+                    longer[v] = max(longer.get(v, 0), a[u])
+    return {u: v for u, v in out.items() if longer.get(u, 0) < 0.9 * a[u]}
+
+
+def in_turn(lists: list[list]) -> list:
+    """One of each list after another, until all are used up."""
+    return [x for row in zip_longest(*lists) for x in row if x is not None]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -113,34 +169,44 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) rows: two of three for the dictionaries, the third for calibration."""
-    texts = [(normalise(t), int(y)) for t, y in rows]
+def fit(rows: list[tuple]) -> Model:
+    """Fit on (text, label) or (text, label, language) rows: two of three for the dictionaries, the
+    third for calibration. Units are counted over all texts and within each language."""
+    texts = [(normalise(r[0]), int(r[1]), r[2] if len(r) > 2 else None) for r in rows]
     learn = [r for i, r in enumerate(texts) if i % 3]
     judge = [rows[i] for i in range(0, len(rows), 3)]
-    toxic, plain = [t for t, y in learn if y], [t for t, y in learn if not y]
+    toxic, plain = [t for t, y, _ in learn if y], [t for t, y, _ in learn if not y]
     if not toxic or not plain:
         # too few of one label to learn from: every text gets the label that there is
-        return Model(b"", b"", (30.0 if any(y for _, y in texts) and not plain else -30.0, 0.0, 0.0, 0.0, 0.0))
-    marked = marked_words(toxic, plain)
-    # the most telling words go last: matches nearest the end of a dictionary cost least
-    tail = f" {' '.join(sorted(marked, key=lambda w: (marked[w], w)))} ".encode()[-BACKGROUND:]
-    usual = Counter(w for t in plain for w in t.split())
-    other = f" {' '.join(w for w, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0]))[:4000])} ".encode()[: len(tail)]
-    base = b" ".join(w for t in plain for w in windows(t)[:6])[:BACKGROUND]
-    model = Model(spell(base + tail), spell(base + other.ljust(len(tail))))
-    got = np.array([model.features(x) for x, _ in judge])
-    model.weights = logistic(got, np.array([float(y) for _, y in judge]))
+        return Model(b"", b"", weights=(30.0 if any(y for _, y, _ in texts) and not plain else -30.0, *(0.0,) * 6))
+    marked = marked_units(toxic, plain)
+    for g in sorted({g for _, _, g in learn if g is not None}):
+        own = marked_units(*([t for t, y, z in learn if z == g and y == side] for side in (1, 0)))
+        marked = {u: max(own.get(u, 0), marked.get(u, 0)) for u in own | marked}
+    # the most telling units go last: matches nearest the end of a dictionary cost least
+    ends = "|".join(sorted(marked, key=lambda u: (marked[u], u))).replace(" | ", " ").encode()[-BACKGROUND:]
+    # ordinary windows and words of every language in turn, so that a language's common syllables save nothing
+    tongues = [[t for t, y, z in learn if z == g and not y] for g in sorted({g for *_, g in learn}, key=str)]
+    base = b" ".join(w for t in in_turn(tongues) for w in windows(t)[:3])[:BACKGROUND]
+    usual = [[w for w, _ in sorted(Counter(w for t in ts for w in set(t.split())).items(), key=lambda x: (-x[1], x[0]))] for ts in tongues]
+    other = f" {' '.join(w for w, _ in zip(in_turn(usual), range(4000)))} ".encode()[: len(ends)]
+    model = Model(spell(base + ends), spell(base + other.ljust(len(ends))), frozenset(marked))
+    got = np.array([model.features(x) for x, *_ in judge])
+    model.weights = logistic(got, np.array([float(r[1]) for r in judge]))
     return model
 
 
-def sample(labelled: DataFrame, text: str, label: str, key: str, most: int = MOST_TEXTS) -> list[tuple[str, int]]:
-    """At most ``most`` texts of each label, first in an order of hashed keys."""
+def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, language: str, most: int = MOST_TEXTS) -> list[tuple[str, int, str | None]]:
+    """At most ``most`` texts of each label with their languages, first in an order of hashed keys.
+    Keys are ranked before a text is fetched, so no text is shuffled."""
+    h, g = F.xxhash64(F.col(key), F.lit(23)), F.xxhash64(F.col(text))
+    known = docs.select(key).join(labels.select(key, label), key)
     out = []
     for y in (0, 1):
-        rows = labelled.filter(F.col(label) == y).select(F.substring(text, 1, MOST_CHARS).alias("t"), F.xxhash64(F.col(key), F.lit(23)).alias("h"), F.xxhash64(text).alias("g"))
-        out += [(r.h, r.g, r.t, y) for r in rows.orderBy("h", "g").limit(most).collect()]
-    return [(t, y) for _, _, t, y in sorted(out, key=lambda r: (r[0], r[1] or 0, r[3]))]
+        chosen = known.filter(F.col(label) == y).select(key).distinct().orderBy(h, key).limit(most)
+        rows = docs.join(F.broadcast(chosen), key).select(F.substring(text, 1, MOST_CHARS).alias("t"), F.col(language).cast("string").alias("z"), h.alias("h"), g.alias("g"))
+        out += [(r.h, r.g, r.t, y, r.z) for r in rows.orderBy("h", "g").limit(most).collect()]
+    return [(t, y, z) for _, _, t, y, z in sorted(out, key=lambda r: (r[0], r[1] or 0, r[3]))]
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -159,8 +225,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    # the labels go with texts before ids are hashed: a row that is held out is never read for the fit
-    train = docs.filter(~held_out()).join(labels.filter("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    got = score_texts(docs, fit(sample(train, "text", "toxic", "doc_id")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    # a row that is held out is never read for the fit
+    rows = sample(docs.filter(~held_out()), labels.filter("toxic is not null"), "text", "toxic", "doc_id", "lang")
+    got = score_texts(docs.select("doc_id", "text"), fit(rows))
     return got.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -397,6 +397,28 @@ def test_toxicity(spark):
     assert toxicity.fit([]).score("x") < 0.5 and toxicity.fit([("a", 1)]).score("x") > 0.5 and toxicity.score_texts(empty(spark), model).count() == 0
 
 
+def test_toxicity_of_rare_inflections(spark):
+    rng = random.Random(15)
+    pool = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(600)]
+
+    def text(y, lang):
+        w = [rng.choice(pool) for _ in range(rng.randrange(40, 200))]
+        for _ in range(5 * y):  # in "yy" no toxic word comes twice, only its stem does
+            w.insert(rng.randrange(len(w)), "plonkwit" if lang == "xx" else "grumbl" + "".join(rng.choice("aeioulnrst") for _ in range(5)))
+        return " ".join(w)
+
+    def rows(n):
+        return [(text(i % 5 == 0, lang), int(i % 5 == 0), lang) for i in range(n) for lang in (["xx"] * 9 + ["yy"])]
+
+    model = toxicity.fit(rows(120))
+    for lang in ("xx", "yy"):
+        assert np.mean([(model.score(text(y, lang)) >= 0.5) == y for y in [True, False] * 50]) > 0.95
+    # three of thirty is little evidence for a word alone, but twenty such words pass jointly
+    plain = [" ".join(rng.sample(pool, 30)) for _ in range(400)]
+    few = [f"{' '.join(rng.sample(pool, 30))} {' '.join('zq' + chr(97 + k) + 'xj' for k in range(20) if (k + i) % 10 < 1)}" for i in range(30)]
+    assert {f" zq{chr(97 + k)}xj " for k in range(20)} <= set(toxicity.marked_units(few, plain))
+
+
 # secrets
 
 
