@@ -4,7 +4,8 @@ A tokenizer and tree builder (implied end tags, void elements, raw text elements
 and entity decoding) makes a tree of any input; a renderer walks it with visibility rules and
 emits all visible text: blocks on lines of their own with blank lines where their margins
 would be, list items with markers and indentation, table cells in aligned columns,
-preformatted text as it is. Nothing is judged by content: all that shows is kept.
+preformatted text as it is, of form fields what they show, of drawings and formulas their text.
+Nothing is judged by content: all that shows is kept.
 
 Pages stay where they are scanned: one Arrow-batched pass without a shuffle. Trees are built
 and walked without recursion, so deep nesting is no limit, and time grows with the input.
@@ -26,7 +27,15 @@ from .common import table, without
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; the last two decode entities.
 RAW = frozenset("script style xmp iframe noembed noframes plaintext textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title textarea select svg math".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title".split())
+#: What may stand in a head; all else, and text, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Within svg and math (marked by FOREIGN among their attributes): what isn't drawn.
+FOREIGN, UNDRAWN = "#foreign", frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Signs between the parts of a formula.
+SIGNS = {"mfrac": "/", "msup": "^", "msub": "_"}
+#: Inputs that show no text, or not their value.
+BARE = frozenset("hidden checkbox radio range color file".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul xmp listing optgroup option".split())
 #: Blocks with a blank line before and after.
 MARGIN = frozenset("article blockquote dl fieldset figure footer h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul aside form".split())
@@ -89,6 +98,8 @@ def parse(html: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if stack[-1].name == "head" and s.strip(" \t\n\f\r"):
+                pop()
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
     def pop() -> None:
@@ -135,7 +146,7 @@ def parse(html: str) -> Node:
                 wall = {"table"} if name in BLOCK and name not in ("p", "div") else _SCOPE
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        again = [Node(x.name, x.attrs) for x in stack[i + 1 :] if x.name not in BLOCK and x.name not in HIDDEN][-8:] if name in BLOCK and name not in ("td", "th", "tr", "table", "body", "html") else []
+                        again = [Node(x.name, x.attrs) for x in stack[i + 1 :] if x.name not in BLOCK and x.name not in HIDDEN and x.name not in ("svg", "math", "select") and FOREIGN not in x.attrs][-8:] if name in BLOCK and name not in ("td", "th", "tr", "table", "body", "html") else []
                         while len(stack) > i:
                             pop()
                         for x in again:  # formatting left open goes on after the block
@@ -151,13 +162,17 @@ def parse(html: str) -> Node:
         if name == "body" or name in BLOCK and name != "html":
             if count.get("head"):
                 close({"head"}, ())
+        if name not in HEAD and stack[-1].name == "head":
+            pop()
+        if count.get("svg") or count.get("math"):
+            attrs[FOREIGN] = ""
         if name in CLOSES:
             close(*CLOSES[name])
         elif name in ENDS_P and count.get("p"):
             close({"p"}, _SCOPE)
         node = Node(name, attrs)
         stack[-1].children.append(node)
-        if name in VOID:
+        if name in VOID or closed and FOREIGN in attrs:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
@@ -176,11 +191,50 @@ def parse(html: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    if node.name in HIDDEN or "hidden" in a or node.name == "input" or node.name == "dialog" and "open" not in a:
+    if node.name in HIDDEN or "hidden" in a or FOREIGN in a and node.name in UNDRAWN or node.name == "dialog" and "open" not in a:
         return False
     return not ("style" in a and _NONE.search(a["style"]))
 
 
+def content(node: Node) -> str:
+    """All text within a node, whatever its layout."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif visible(x):
+            todo.extend(reversed(x.children))
+    return "".join(out)
+
+
+def caption(node: Node) -> str:
+    """What an input shows: its value, or the placeholder where there is none."""
+    a = node.attrs
+    kind = a.get("type", "").strip().lower()
+    if kind in BARE:
+        return ""
+    if kind == "image":
+        return a.get("alt", "")
+    return (a.get("value", "") if kind != "password" else "") or a.get("placeholder", "")
+
+
+def chosen(node: Node) -> list[str]:
+    """The options that a select shows: all in a list box, else the selected or first one."""
+    options, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or not visible(x):
+            continue
+        if x.name == "option":
+            options.append(x)
+        else:
+            todo.extend(reversed(x.children))
+    if "multiple" not in node.attrs and not re.fullmatch(r"0*([2-9]|[1-9]\d+)", node.attrs.get("size", "").strip()):
+        options = [x for x in options if "selected" in x.attrs][-1:] or [x for x in options if "disabled" not in x.attrs][:1] or options[:1]
+    return [x.attrs.get("label") or content(x) for x in options]
+
+
 def width(s: str) -> int:
     """Columns that a string takes: two for wide characters, none for combining ones."""
     if s.isascii():
@@ -270,6 +324,30 @@ def render(root: Node) -> str:
                 continue
             if name == "wbr":
                 continue
+            if name == "input":
+                out.inline(caption(x))
+                continue
+            if name == "select":
+                shown = chosen(x)
+                for s in shown:
+                    out.inline(s)
+                    if len(shown) > 1:
+                        out.flush()
+                continue
+            if name == "textarea":
+                rows = (content(x).removeprefix("\n") or x.attrs.get("placeholder", "")).split("\n")
+                if len(rows) > 1:
+                    out.flush()
+                    for s in rows:
+                        out.put(s.rstrip())
+                else:
+                    out.inline(rows[0])
+                continue
+            if name in SIGNS and FOREIGN in x.attrs:
+                parts = [c for c in x.children if not isinstance(c, str)]
+                x.children = [c for part in parts for c in (SIGNS[name], part)][1:]
+            if FOREIGN in x.attrs and name in ("text", "mtd", "mtr"):
+                out.inline(" ")
             if name in ("td", "th", "caption", "li", "dd", "blockquote", "tr", "table"):
                 if name in MARGIN:
                     out.margin()
@@ -391,6 +469,8 @@ def render(root: Node) -> str:
             else:
                 if name == "q":
                     out.inline('"')
+                if FOREIGN in x.attrs and name in ("text", "mtd", "mtr"):
+                    out.inline(" ")
                 if name in ("pre", "listing", "xmp"):
                     pre -= 1
                     held = "".join(out.open)

@@ -365,6 +365,19 @@ def test_html(html, want):
     assert html_text.html_to_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<head><title>t</title>Hello <b>x</b>", "Hello x"), ("<head><title>t</title><b>x</b> y", "x y"), ("<head> <meta charset=x><style>p{}</style> <img alt=pic>z", "picz"), ("<head><noscript><img alt=n></noscript><title>t</title></head>x", "x"),
+        ("a <select><option>b<option selected>c</select> d", "a c d"), ("<select><option>b<option>c</select>", "b"), ("<select multiple><option>b<option label=l>c</select>", "b\nl"),
+        ("<textarea>\none &amp; <b></textarea>", "one & <b>"), ("<textarea>x\n  y</textarea>z", "x\n  y\nz"), ("<input type=submit value=Send> <input type=hidden value=n><input placeholder=Name><input type=checkbox value=on>", "Send Name"),
+        ("a <math><mfrac><mi>x</mi> <mn>2</mn></mfrac><mo>=</mo><msup><mi>y</mi><mn>3</mn></msup><annotation>tex</annotation></math>", "a x/2=y^3"), ("<svg><title>t</title><defs><text>n</text></defs><path d=a /><text>one</text><text>two</text></svg> b", "one two b"), ("<div><svg><defs></div>rest", "rest"), ("<svg><title/><text>a</text></svg>", "a"),
+    ],
+)
+def test_html_fields_drawings_and_open_heads(html, want):
+    assert html_text.html_to_text(html) == want
+
+
 def test_html_never_fails(spark):
     rng = random.Random(13)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<ul>", "<li>", "</ul>", "<pre>", "</pre>", "<b>", "</b>", "x", " ", "\n", "&amp;", "<a href='", "'>", "<!--", "-->", "<script>", "</script>", "</", "<dd>", "<blockquote>", "<br/>", "<caption>", "<tbody>"]
