@@ -8,7 +8,10 @@ neighbouring diagonals, so within one of the half-overlapping bands of twice tha
 Filtering goes from cheap to exact: a bitmap of the benchmark's q-grams marks text positions;
 stretches with too few marks are dropped; what is left is looked up, counted by (passage,
 band), and (passage, band) pairs below the lemma's bound are dropped; the others are verified
-by banded alignment. No step loses a match within the budget.
+by banded alignment. No step loses a match within the budget. Passages start every STEP
+characters; where none of an item's is found, the same hits are counted for the 64 characters
+from every other start, so a quotation of that length is found wherever it starts. Items under
+SHORTEST characters are looked for whole and exactly, between word boundaries.
 
 Documents are not shuffled. The benchmark's passages travel to the tasks in chunks of bounded
 size; a benchmark of several chunks takes as many passes over the documents.
@@ -50,6 +53,16 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return (sums[q:] - sums[:-q]) * powers(n, _INVERSE)
 
 
+def bounded(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] begins and ends at a word boundary; in scripts that are written
+    without spaces every place is one."""
+
+    def within(k: int) -> bool:
+        return 0 < k < len(text) and all(c.isalnum() and not (c >= "\u2e80" or "\u0e00" <= c <= "\u0eff") for c in text[k - 1 : k + 1])
+
+    return not within(start) and not within(stop)
+
+
 def slots(h: np.ndarray) -> np.ndarray:
     return (h * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
 
@@ -59,11 +72,19 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.of, self.text, self.edits, self.need = [], [], [], []
+        self.items, begin, base = [], [], [0]
+        short: dict[int, list[tuple[int, int, str]]] = {}
         positions = []
         for item, raw in items:
             t = normalise(raw)
-            if item is None or len(t) < SHORTEST:
+            if item is None or not t:
+                continue
+            if len(t) < SHORTEST:
+                h = int(grams(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), len(t))[0])
+                short.setdefault(len(t), []).append((h, item, t))
                 continue
+            self.items.append((item, t))
+            base.append(base[-1] + len(t))
             size = min(PASSAGE, len(t))
             for s in sorted({*range(0, len(t) - size + 1, STEP), len(t) - size}):
                 k = min(EDITS, max(0, size // 16))
@@ -71,12 +92,16 @@ class Passages:
                     k -= 1
                 positions.append((len(self.of), t[s : s + size]))
                 self.of.append(item)
+                begin.append(base[-2] + s)
                 self.text.append(t[s : s + size])
                 self.edits.append(k)
                 self.need.append(size - Q + 1 - k * Q)
         hashes, where, offset = [], [], []
+        #: Items under SHORTEST by length, with their hashes in order; places in all items laid end to end.
+        self.short = {n: (np.array([h for h, _, _ in x], np.uint64), x) for n, x in ((n, sorted(x, key=lambda y: y[0])) for n, x in short.items())}
+        self.begin, self.base = np.array(begin, np.int64), np.array(base, np.int64)
         for i, t in positions:
-            h = grams(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+            h = grams(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
             hashes.append(h)
             where.append(np.full(len(h), i, np.int64))
             offset.append(np.arange(len(h), dtype=np.int64))
@@ -91,14 +116,33 @@ class Passages:
         self.least, self.width = min(self.need, default=1), 2 * (EDITS + 1)
         self.need = np.array(self.need, np.int64)
 
-    def find(self, texts: list[str]) -> list[list[tuple]]:
-        """Per normalised text its matches (item, passages, least edits, start, stop)."""
+    def find(self, texts: list[str], between: bool = False) -> list[list[tuple]]:
+        """Per normalised text its matches (item, passages, least edits, start, stop): with the
+        passages of the index and, if asked, with those that start between them."""
         out: list[dict[int, list]] = [{} for _ in texts]
         joined = "\n".join(texts)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        h = grams(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
-        if not len(h) or not len(self.hash):
-            return [[] for _ in texts]
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.find_short(codes, texts, starts, out)
+        h = grams(codes)
+        if len(h) and len(self.hash):
+            self.find_passages(h, len(joined), texts, starts, out, between)
+        return [[(item, len(m), min(e for e, _, _ in m.values()), min(s for _, s, _ in m.values()), max(t for _, _, t in m.values())) for item, m in sorted(x.items())] for x in out]
+
+    def find_short(self, codes: np.ndarray, texts: list[str], starts: np.ndarray, out: list[dict]) -> None:
+        """Items under SHORTEST characters: whole, without an edit, between word boundaries."""
+        for n, (hashes, items) in self.short.items():
+            h = grams(codes, n)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for at in np.flatnonzero(hi > lo).tolist():
+                doc = int(np.searchsorted(starts, at, "right")) - 1
+                first = at - int(starts[doc])
+                for k in range(lo[at], hi[at]):
+                    _, item, t = items[k]
+                    if ("short", n, k) not in out[doc].get(item, ()) and texts[doc].startswith(t, first) and bounded(texts[doc], first, first + n):
+                        out[doc].setdefault(item, {})["short", n, k] = (0, first, first + n)
+
+    def find_passages(self, h: np.ndarray, size: int, texts: list[str], starts: np.ndarray, out: list[dict], between: bool) -> None:
         hit = self.mark[slots(h)]
         span = PASSAGE + EDITS
         at = np.flatnonzero(hit)
@@ -119,9 +163,9 @@ class Passages:
         half = self.width // 2
         for shift in (0, half):
             band = (diagonal + shift) // self.width
-            key = passage * (len(joined) + 4 * PASSAGE) + band
+            key = passage * (size + 4 * PASSAGE) + band
             keys, counts = np.unique(key, return_counts=True)
-            p, b = np.divmod(keys, len(joined) + 4 * PASSAGE)
+            p, b = np.divmod(keys, size + 4 * PASSAGE)
             for i, d in zip(p[counts >= self.need[p]].tolist(), b[counts >= self.need[p]].tolist()):
                 low = d * self.width - shift - PASSAGE
                 doc = int(np.searchsorted(starts, max(low, 0) + half, "right")) - 1
@@ -134,7 +178,40 @@ class Passages:
                         found = out[doc].setdefault(self.of[i], {})
                         if i not in found or got < found[i]:
                             found[i] = got
-        return [[(item, len(m), min(e for e, _, _ in m.values()), min(s for _, s, _ in m.values()), max(t for _, _, t in m.values())) for item, m in sorted(x.items())] for x in out]
+        if between:
+            self.find_between(pos, self.begin[passage] + self.offset[entry], texts, starts, out)
+
+    def find_between(self, pos: np.ndarray, place: np.ndarray, texts: list[str], starts: np.ndarray, out: list[dict]) -> None:
+        """Passages from any start, of items that ``out`` doesn't have yet for a text. ``pos`` are
+        the hits' places in the texts, ``place`` those in the items."""
+        most, need, half = int(self.base[-1]), PASSAGE - Q + 1 - EDITS * Q, self.width // 2
+        place, pos = np.divmod(np.unique(place * (int(starts[-1]) + 1) + pos), int(starts[-1]) + 1)
+        if len(pos) < need:
+            return
+        of = np.searchsorted(self.base, place, "right") - 1
+        for shift in (0, half):
+            band = (pos - place + most + shift) // self.width
+            by = np.lexsort((place, band, of))
+            i, b, p = of[by], band[by], place[by]
+            first, last = slice(None, len(by) - need + 1), slice(need - 1, None)
+            near = (i[first] == i[last]) & (b[first] == b[last]) & (p[last] - p[first] <= PASSAGE - Q)
+            tried = set()
+            for x in np.flatnonzero(near).tolist():
+                item, t = self.items[i[x]]
+                begin = int(self.base[i[x]])
+                low = int(b[x]) * self.width - shift - most  # the band's least text place less item place
+                doc = int(np.searchsorted(starts, int(pos[by[x]]), "right")) - 1
+                if item in out[doc]:
+                    continue
+                for s in range(max(int(p[x + need - 1]) - (PASSAGE - Q) - begin, 0), min(int(p[x]) - begin, len(t) - PASSAGE) + 1):
+                    if (b[x], s, doc, begin) in tried:
+                        continue
+                    tried.add((b[x], s, doc, begin))
+                    at = low + begin + s - int(starts[doc])
+                    got = align(t[s : s + PASSAGE], texts[doc], at, at + self.width, EDITS)
+                    if got:
+                        out[doc][item] = {"between": got}
+                        break
 
 
 def align(passage: str, text: str, first: int, last: int, most: int) -> tuple[int, int, int] | None:
@@ -192,9 +269,9 @@ def finder(data):
                 held.append(t)
                 size += len(t)
                 if size >= STRIDE:
-                    got += index.find(held)
+                    got += index.find(held, True)
                     held, size = [], 0
-            got += index.find(held) if held else []
+            got += index.find(held, True) if held else []
             yield pd.Series([[dict(zip(FIELDS, m)) for m in x] for x in got], dtype=object)
 
     return find
@@ -204,8 +281,9 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     """All rows of ``df`` with ``column``: an array of (item_id, n_passages, edits, start, stop).
 
     start and stop are places in the normalised text. Null and empty texts, and an empty
-    benchmark, give empty arrays; items under SHORTEST characters, or without an id, are not
-    looked for; equal items match under each of their ids. An input column of that name is replaced.
+    benchmark, give empty arrays; items without an id are not
+    looked for; n_passages counts those that start every STEP characters, and is 1 where only
+    another start or a whole item under SHORTEST characters is found; equal items match under each of their ids. An input column of that name is replaced.
     """
     out, found = without(df, column), []
     columns = [F.col(f"`{c}`") for c in out.columns]
@@ -219,8 +297,9 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that hold no benchmark passage, with its columns."""
-    got = matches(df, benchmark, text, column="__matches")
+    """The rows of ``df`` that hold no benchmark passage, with its columns. Items without an id
+    count too, and so do short ones: an item of one word rejects every text with that word."""
+    got = matches(df, benchmark.select(F.lit(0).alias("item_id"), "text"), text, column="__matches")
     return got.filter(F.size("__matches") == 0).drop("__matches")
 
 

@@ -141,6 +141,26 @@ def test_decontamination_handles_anything(spark):
     assert [m.item_id for m in chunked] == [7]
 
 
+def test_decontamination_of_any_start_and_short_items(spark):
+    rng = random.Random(7)
+    item = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    item = decontaminate.normalise(item)
+    index = decontaminate.Passages([(1, item), (2, "What is 2+2?"), (3, "cat"), (4, "什么是水"), (5, "cat")])
+    noise = " ".join(words(rng, 60))
+    for s in range(0, len(item) - 64):
+        quote = item[s : s + 64].strip()
+        if len(quote) == 64:
+            assert [m[0] for m in index.find([noise, f"{noise} {quote}zz {noise}"], True)[1]] == [1], s
+            worn = quote[:20] + quote[21:40] + "#" + quote[41:]
+            assert [m[0] for m in index.find([noise, f"{noise} {worn}zz {noise}"], True)[1]] == [1], s
+    assert index.find([noise + item[3:55] + noise, ""], True) == [[], []]
+    got = index.find(["so, (what is 2+2?) a cat", "concat cats what is 2+2?x", "请问什么是水呢", "cat"])
+    assert [[m[0] for m in x] for x in got] == [[2, 3, 5], [2], [4], [3, 5]] and got[0][0] == (2, 1, 0, 5, 17)
+    bench = spark.createDataFrame([(None, item), (5, "Who is he?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, noise + " " + item), (2, "he asked: who is he?"), (3, noise), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == [3, 4]
+
+
 # Jaccard join
 
 
