@@ -1,21 +1,22 @@
-"""Toxicity by compression distance.
-
-One zstandard dictionary is built from toxic text, one from ordinary text: both begin with the
-same ordinary windows, each language in turn, and the toxic one ends with the units (words, stems
-and endings) that tell it best, found by a significance test between the labels over all texts and
-within each language. A window of a text is compressed with either; the toxic dictionary saves
-bytes where the window has what toxic text has and ordinary text has not, and all else costs about
-the same. Windows overlap and cover whole texts. A text's features are its greatest saving, how
-many windows save, and how many of its words have a unit of the toxic dictionary, which a
-language's common syllables do not blur; a logistic calibration, fitted on labelled texts that the
-dictionaries have not seen, turns them into a probability, so 0.5 is the threshold.
-
-A match costs about three bytes however short, which would hide words of four or five letters.
-Text is therefore spelled with two bytes a letter and six a word boundary before it is
-compressed: whole words then save clearly more than parts of words do.
-
-The fit reads a sample of bounded size (MOST_TEXTS a label, MOST_CHARS of each), a limit of
-the fit, not of prediction.
+"""Toxicity by compression distance, beside a test of the words that only toxic text has.
+
+Two zstandard dictionaries begin with the same ordinary windows, each language in turn, and end
+with what the library's trainer makes of toxic and of ordinary samples. A window of a text is
+compressed with either; the toxic dictionary saves bytes where the window has what toxic text has
+and ordinary text has not, and all else costs about the same. Windows overlap and cover whole
+texts. Features are how these savings are spread over a text's windows and how many of its words
+have a marked unit (a word, stem or ending that tells the labels apart); a logistic calibration,
+fitted on labelled texts that the dictionaries have not seen, turns them into a probability, so
+0.5 is the threshold.
+
+Savings alone don't decide here: a match costs about three bytes, as much as a short word that is
+coded letter by letter, and dictionaries trained on whole toxic texts mostly hold what all text has
+(the README has figures). So the toxic samples are the words of toxic texts that have a marked
+unit, and the units count for themselves. A unit is marked by a binomial test between the labels,
+over all texts and within each language.
+
+The fit reads a bounded number of whole texts (MOST_TEXTS a label), a limit of the fit, not of
+prediction.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 from .common import table, without
 from .crf import held_out
 
-#: Labelled texts of each label that are fitted at most, and characters of each.
-MOST_TEXTS, MOST_CHARS = 3000, 20_000
-WINDOW, STEP, BACKGROUND, LEVEL, LEAST_MATCH = 96, 76, 4096, 4, 6
+#: Labelled texts of each label that are fitted at most.
+MOST_TEXTS = 3000
+WINDOW, STEP, LEVEL, LEAST_MATCH = 96, 76, 4, 4
+#: Bytes of a dictionary's common beginning and of its trained end; the trainer's segment and gram sizes;
+#: windows of an ordinary text, from its whole length, that the trainer is given.
+BACKGROUND, TRAINED, SEGMENT, GRAM, SHOWN = 4096, 2048, 24, 6, 12
 #: Least and greatest letters of a stem or an ending, and the share of passing units that may be false.
 LEAST_UNIT, MOST_UNIT, FALSE, RATIO = 4, 10, 0.01, 4
-#: Letters' second bytes and the word boundary in the spelling that is compressed.
-_SPELL = [bytes([i, (i * 37 + 11) & 255]) for i in range(256)]
-_SPELL[32] = bytes([1, 2, 3, 4, 5, 6])
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,10 +52,6 @@ def normalise(text: str | None) -> str:
     return " ".join(_WORDS.findall((text or "").lower()))
 
 
-def spell(raw: bytes) -> bytes:
-    return b"".join([_SPELL[c] for c in raw])
-
-
 def windows(text: str) -> list[bytes]:
     """Overlapping windows of WINDOW bytes, STEP apart, over the whole normalised text."""
     raw = f" {text} ".encode()
@@ -62,7 +59,7 @@ def windows(text: str) -> list[bytes]:
 
 
 class Model:
-    """Both dictionaries, the marked units that the toxic one ends with, and the calibration."""
+    """Both dictionaries, the marked units, and the calibration."""
 
     def __init__(self, toxic: bytes, plain: bytes, marked: frozenset[str] = frozenset(), weights: tuple[float, ...] = (0.0,) * 7):
         self.toxic, self.plain, self.marked, self.weights, self.ready = toxic, plain, marked, weights, None
@@ -85,14 +82,14 @@ class Model:
         return self.ready
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Greatest saving of a window, the share of windows that save, how many save much; how many
-        words have a marked unit, and their share."""
+        """Greatest saving of a window, the share of windows that save, the mean saving, how many save
+        much; how many words have a marked unit, and their share."""
         toxic, plain = self.compressors()
         text = normalise(text)
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in map(spell, windows(text))])
+        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)])
         counts = Counter(text.split())
         hits = sum(n for w, n in counts.items() if not self.marked.isdisjoint(units_of(w))) if self.marked else 0
-        return float(np.clip(saved.max(), -20, 40)), float((saved >= 6).mean()), float(np.log1p((saved >= 10).sum())), float(np.log1p((saved >= 14).sum())), float(np.log1p(hits)), 10.0 * hits / max(counts.total(), 1)
+        return float(np.clip(saved.max(), -20, 40)), float((saved >= 4).mean()), float(saved.mean()), float(np.log1p((saved >= 8).sum())), float(np.log1p(hits)), 10.0 * hits / max(counts.total(), 1)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, (1.0, *self.features(text))), -30, 30))))
@@ -152,6 +149,21 @@ def marked_units(toxic: list[str], plain: list[str]) -> dict[str, float]:
     return {u: v for u, v in out.items() if longer.get(u, 0) < 0.9 * a[u]}
 
 
+def spread(xs: list, n: int) -> list:
+    """At most n of a list, evenly from its whole length."""
+    return [xs[i * len(xs) // n] for i in range(n)] if len(xs) > n else xs
+
+
+def trained(samples: list[bytes], size: int = TRAINED) -> bytes:
+    """Content of a dictionary that the library's trainer makes of samples. Too few samples for
+    the trainer are a dictionary as they are."""
+    try:
+        # the trainer puts tables before the content, whose end is what it found most frequent
+        return zstandard.train_dictionary(size + 1024, samples, k=SEGMENT, d=GRAM).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
 def in_turn(lists: list[list]) -> list:
     """One of each list after another, until all are used up."""
     return [x for row in zip_longest(*lists) for x in row if x is not None]
@@ -183,14 +195,12 @@ def fit(rows: list[tuple]) -> Model:
     for g in sorted({g for _, _, g in learn if g is not None}):
         own = marked_units(*([t for t, y, z in learn if z == g and y == side] for side in (1, 0)))
         marked = {u: max(own.get(u, 0), marked.get(u, 0)) for u in own | marked}
-    # the most telling units go last: matches nearest the end of a dictionary cost least
-    ends = "|".join(sorted(marked, key=lambda u: (marked[u], u))).replace(" | ", " ").encode()[-BACKGROUND:]
-    # ordinary windows and words of every language in turn, so that a language's common syllables save nothing
+    # ordinary windows of every language in turn, so that a language's common syllables save nothing
     tongues = [[t for t, y, z in learn if z == g and not y] for g in sorted({g for *_, g in learn}, key=str)]
-    base = b" ".join(w for t in in_turn(tongues) for w in windows(t)[:3])[:BACKGROUND]
-    usual = [[w for w, _ in sorted(Counter(w for t in ts for w in set(t.split())).items(), key=lambda x: (-x[1], x[0]))] for ts in tongues]
-    other = f" {' '.join(w for w, _ in zip(in_turn(usual), range(4000)))} ".encode()[: len(ends)]
-    model = Model(spell(base + ends), spell(base + other.ljust(len(ends))), frozenset(marked))
+    usual = [w for t in in_turn(tongues) for w in spread(windows(t), SHOWN)]
+    base = b" ".join(usual[::SHOWN])[:BACKGROUND]
+    telling = [" ".join(["", *[w for w in t.split() if not marked.keys().isdisjoint(units_of(w))], ""]).encode() for t in toxic]
+    model = Model(base + trained([x for x in telling if len(x) > 1]), base + trained(usual), frozenset(marked))
     got = np.array([model.features(x) for x, *_ in judge])
     model.weights = logistic(got, np.array([float(r[1]) for r in judge]))
     return model
@@ -198,20 +208,22 @@ def fit(rows: list[tuple]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, language: str, most: int = MOST_TEXTS) -> list[tuple[str, int, str | None]]:
     """At most ``most`` texts of each label with their languages, first in an order of hashed keys.
-    Keys are ranked before a text is fetched, so no text is shuffled."""
+    Keys are ranked before a text is fetched, so no text is shuffled; texts are whole. A repeated
+    key brings its texts, up to ``most`` in all; null labels are for the caller to leave out."""
     h, g = F.xxhash64(F.col(key), F.lit(23)), F.xxhash64(F.col(text))
     known = docs.select(key).join(labels.select(key, label), key)
     out = []
     for y in (0, 1):
         chosen = known.filter(F.col(label) == y).select(key).distinct().orderBy(h, key).limit(most)
-        rows = docs.join(F.broadcast(chosen), key).select(F.substring(text, 1, MOST_CHARS).alias("t"), F.col(language).cast("string").alias("z"), h.alias("h"), g.alias("g"))
+        rows = docs.join(F.broadcast(chosen), key).select(F.col(text).alias("t"), F.col(language).cast("string").alias("z"), h.alias("h"), g.alias("g"))
         out += [(r.h, r.g, r.t, y, r.z) for r in rows.orderBy("h", "g").limit(most).collect()]
     return [(t, y, z) for _, _, t, y, z in sorted(out, key=lambda r: (r[0], r[1] or 0, r[3]))]
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows of ``df`` with score (0 to 1) and predicted (1 from 0.5 on). Null and empty texts
-    are scored as empty; input columns of these names are replaced."""
+    are scored as empty, long ones by all their windows, repeated ones alike; an empty table gives an
+    empty result; input columns of these names are replaced."""
     df = without(df, "score", "predicted")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
