@@ -141,6 +141,61 @@ def test_decontamination_handles_anything(spark):
     assert [m.item_id for m in chunked] == [7]
 
 
+def test_decontamination_beside_empty_texts():
+    rng = random.Random(21)
+    item = decontaminate.normalise(" ".join(words(rng, 14)))
+    index = decontaminate.Passages([(1, item)])
+    for _ in range(300):
+        t = list(item[:64])
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(64)] = rng.choice("xyz")
+        texts = [""] * rng.randrange(14) + ["".join(t)] + [rng.choice(["", "a"])] * rng.randrange(9)
+        got = index.find(texts)
+        assert [bool(x) for x in got] == [any(distance(p, t) <= e for p, e in zip(index.text, index.edits)) for t in texts]
+
+
+def test_decontamination_of_repetitive_text(monkeypatch):
+    again, other = decontaminate.normalise("a " * 2000), "abcabcabd" * 40
+    index = decontaminate.Passages([(i, again) for i in range(5)] + [(7, other), (8, "z" * 200)])
+    got = index.find(["q" * 1_000_000, "a " * 20_000, "abcabcabc" * 4000, "z" * 100_000, "z" * 59, other[3:70], ""], True)
+    assert [sorted(m[0] for m in x) for x in got] == [[], [0, 1, 2, 3, 4], [], [8], [], [7], []]
+    assert all(m[1:] == (247, 0, 0, 65) for m in got[1])
+    # small steps and parts find what large ones do
+    rng = random.Random(22)
+    texts = ["".join(rng.choice(["a ", "a ", "b", other[:80], again[:70], "z" * 66]) for _ in range(rng.randrange(60))) for _ in range(25)]
+    whole = [index.find([t], True)[0] for t in texts]
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    monkeypatch.setattr(decontaminate, "STRIDE", 400)
+    assert index.find(texts, True) == whole
+
+
+def test_decontamination_in_chunks_against_full_alignment(spark):
+    rng = random.Random(23)
+    items = [(i, " ".join(words(rng, 25))) for i in range(6)]
+    docs = []
+    for i in range(30):
+        w = items[i % 6][1]
+        t = list(w[rng.randrange(20) :]) if i % 3 else list(" ".join(words(rng, 30)))
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(len(t))] = rng.choice("abc")
+        docs.append((i, "".join(t)))
+    bench, df = spark.createDataFrame(items, "item_id long, text string").coalesce(1), spark.createDataFrame(docs, "doc_id long, text string")
+    index = decontaminate.Passages(items)
+    want = {(d, index.of[k]) for d, t in docs for k, p in enumerate(index.text) if distance(p, decontaminate.normalise(t)) <= index.edits[k]}
+    for limit in (10, 300, 10**6):
+        rows = decontaminate.matches(df, bench, limit=limit).collect()
+        assert len(rows) == 30 and {(r.doc_id, m.item_id) for r in rows for m in r.matches} >= want
+        sure = {(r.doc_id, m.item_id) for r in rows for m in r.matches if m.n_passages > 1}
+        assert sure <= want
+    monkey = decontaminate.CHUNK
+    try:
+        decontaminate.CHUNK = 10
+        left = decontaminate.decontaminated(df, bench)
+    finally:
+        decontaminate.CHUNK = monkey
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in rows if not r.matches} and left.columns == df.columns
+
+
 def test_decontamination_of_any_start_and_short_items(spark):
     rng = random.Random(7)
     item = "".join(rng.choice("abcdefghij ") for _ in range(300))
