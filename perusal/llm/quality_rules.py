@@ -11,9 +11,16 @@ aggregation counts on the map side and only bucket counts are shuffled. Groups w
 than ``min_docs`` documents use the merged sketch of their language, and languages with
 too few the merged sketch of all.
 
-Plan: scan -> features -> bucket counts (one small shuffle) -> thresholds (a row per group,
-written to the shared folder) -> second scan -> features -> join with the thresholds. The
-join is a broadcast only if the counted thresholds are few, so texts are not shuffled.
+Rates are counts over units (symbols per character, say). A fence stands where an exponential
+tail through a group's upper quartile and ninetieth percentile (or lower quartile and tenth)
+leaves one document in ten thousand, so a group's own spread decides, on either side. A
+document is out when its count is beyond what the fence lets its units have by more than
+chance explains (DEVIATIONS of a Poisson count and one): where a rate is mostly zero, and so
+is its fence, a single symbol or repeated line is no reason, many are.
+
+Plan: scan -> features, written once to the shared folder -> bucket counts (one small shuffle) ->
+thresholds (a row per group) -> the written rows join the thresholds. The join is a broadcast
+only if the counted thresholds are few, so texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -25,19 +32,22 @@ from .common import WORD, Scratch, broadcast_if_small, table, without
 
 #: Counts that every document gets.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rates in thousandths, fenced from above: name, least distance of the fence from the upper quartile.
-RATES = {"symbol_rate": 40, "dup_line_rate": 450, "repeat_rate": 350, "upper_rate": 300, "word_length": 3000}
+#: Fenced rates, in thousandths: what is counted, over what.
+RATES = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "__lines"), "repeat_rate": ("n_repeat_words", "n_words"), "upper_rate": ("__upper", "__letters"), "word_length": ("word_chars", "n_words")}
 ADDED = (*COUNTS, *RATES, "base_failed", "kept", "failed_rules")
 
 #: Fixed values of the base rule: fewest words, most per cent of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: A fence stands this many interquartile ranges above the upper quartile.
-SPREADS = 3
+#: Percentiles that a tail runs through, on either side, and half the number of their distances from the outer one
+#: to the fence: ln(0.1 / 0.0001) / ln(0.25 / 0.1) is 7.5.
+QUANTILES, HALF_TAILS = {"q10": 10, "q25": 25, "q75": 75, "q90": 90}, 15
+DEVIATIONS = 3
+#: A group with fewer documents takes the fences of its language, and that of all if it has too few.
 MIN_DOCS = 30
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add COUNTS and RATES for the whole of ``text`` (null counts as no text).
+    """Add COUNTS, RATES and what they are over, for the whole of ``text`` (null counts as no text).
 
     n_repeat_words is the number of word positions covered by 3-word windows that occur
     twice or more: repeated windows are found by sorting 64-bit window hashes, and their
@@ -69,9 +79,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     }
     # inline() of one struct: filters on the counts stop here, and so never copy the expressions above
     df = df.select(*columns, F.inline(F.array(F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]))))
-    rate = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
-    df = df.withColumns({"symbol_rate": rate("n_symbols", "word_chars"), "dup_line_rate": rate("n_dup_lines", "__lines"), "repeat_rate": rate("n_repeat_words", "n_words"), "upper_rate": rate("__upper", "__letters"), "word_length": rate("word_chars", "n_words")})
-    return df.drop("__lines", "__upper", "__letters")
+    return df.withColumns({r: F.expr(f"{k} * 1000 div greatest({n}, 1)") for r, (k, n) in RATES.items()})
 
 
 def bucket(v: Column) -> Column:
@@ -106,60 +114,71 @@ def quantiles(sketches: DataFrame, keys: list[str], qs: dict[str, int]) -> DataF
 
 
 def thresholds(cells: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row (lang, source, a fence per rate) from the sketches (lang, source, rule, b, n)."""
-    qs = {"q1": 25, "q3": 75}
-    fence = F.col("q3") + F.greatest(SPREADS * (F.col("q3") - F.col("q1")), F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])[F.col("rule")])
-    level = lambda keys, name: quantiles(merge(cells, keys), keys, qs).select(*keys, "rule", F.when(F.col("docs") >= min_docs, fence).alias(name), *([F.col("docs").alias("docs")] if len(keys) == 2 else []))
-    a, b, c = level(["lang", "source"], "f2"), level(["lang"], "f1"), level([], "f0")
+    """One row (lang, source, a <rate>_hi and a <rate>_lo per rate) from the sketches (lang, source, rule, b, n)."""
+    hi = F.expr(f"q90 + {HALF_TAILS} * (q90 - q75) div 2")
+    lo = F.expr(f"greatest(q10 - {HALF_TAILS} * (q25 - q10) div 2, 0)")
+    level = lambda keys, name, least: quantiles(merge(cells, keys), keys, QUANTILES).select(*keys, "rule", F.when(F.col("docs") >= least, F.struct(hi.alias("hi"), lo.alias("lo"))).alias(name))
+    a, b, c = level(["lang", "source"], "f2", min_docs), level(["lang"], "f1", min_docs), level([], "f0", 0)
     b, c = b.withColumnsRenamed({"lang": "l1", "rule": "r1"}), c.withColumnRenamed("rule", "r0")
     got = a.join(b, a["lang"].eqNullSafe(b["l1"]) & (a["rule"] == b["r1"]), "left").join(c, a["rule"] == c["r0"], "left")
-    # with fewer than min_docs in the whole table no cutoff is known: nothing is fenced
-    return got.groupBy("lang", "source").pivot("rule", list(RATES)).agg(F.first(F.coalesce("f2", "f1", "f0")))
+    got = got.withColumn("f", F.coalesce("f2", "f1", "f0"))
+    return got.groupBy("lang", "source").pivot("rule", list(RATES)).agg(F.first("f.hi").alias("hi"), F.first("f.lo").alias("lo"))
+
+
+def outside(rate: str) -> Column:
+    """Whether a rate is beyond a fence by more than chance; without fences it isn't."""
+    k, n = (F.col(c).cast("double") for c in RATES[rate])
+    n = F.greatest(n, F.lit(1.0))
+    hi, lo = (F.col(f"{rate}_{side}").cast("double") for side in ("hi", "lo"))
+    chance = lambda f: DEVIATIONS * DEVIATIONS * 1000 * (n * f + 1000)
+    over, under = 1000 * k - n * hi, n * lo - 1000 * k
+    return F.coalesce((over > 0) & (over * over > chance(hi)) | (under > 0) & (under * under > chance(lo)), F.lit(False))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
 
 
+def judged(counted: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Rows of ``with_counts`` with base_failed, failed_rules and kept. ``counted`` is read twice, so it
+    is best a written table."""
+    # documents that fail the base rule take no part in the sketches
+    cells = sketch(counted.filter(~base_failed()), [lang, source], list(RATES)).withColumnsRenamed({lang: "lang", source: "source"})
+    fences = scratch.keep(thresholds(scratch.keep(cells, "sketches"), min_docs), "fences")
+    small = broadcast_if_small(fences.withColumnsRenamed({"lang": "__lang", "source": "__source"}), fences.count())
+    got = counted.join(small, counted[lang].eqNullSafe(small["__lang"]) & counted[source].eqNullSafe(small["__source"]), "left")
+    failed = F.filter(F.array(*[F.when(outside(r), F.lit(r)) for r in RATES]), lambda x: x.isNotNull())
+    got = got.withColumns({"base_failed": base_failed(), "failed_rules": failed})
+    return got.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("__lang", "__source", "__lines", "__upper", "__letters", *[f"{r}_{side}" for r in RATES for side in ("hi", "lo")])
+
+
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of ``df`` with ADDED: counts, rates, base_failed, failed_rules, kept.
 
     Input columns of those names are replaced. A null text counts as empty and fails the base
     rule; null lang or source are groups of their own; an empty table gives an empty result;
-    repeated rows are judged each for itself, and equal documents alike within a group.
+    repeated rows are judged each for itself, and equal documents alike within a group; a value
+    on a fence is within it; long texts are counted whole.
     """
-    spark = df.sparkSession
-    counted = with_counts(df, text)
-    scratch = Scratch(spark)
-    # documents that fail the base rule take no part in the sketches
-    cells = sketch(counted.filter(~base_failed()), [lang, source], list(RATES)).withColumnsRenamed({lang: "lang", source: "source"})
-    fences = scratch.keep(thresholds(scratch.keep(cells, "sketches"), min_docs), "fences")
-    names = {"lang": "__lang", "source": "__source", **{r: f"__{r}" for r in RATES}}
-    small = broadcast_if_small(fences.withColumnsRenamed(names), fences.count())
-    got = counted.join(small, counted[lang].eqNullSafe(small["__lang"]) & counted[source].eqNullSafe(small["__source"]), "left")
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"__{r}"), F.lit(r)) for r in RATES]), lambda x: x.isNotNull())
-    got = got.withColumns({"base_failed": base_failed(), "failed_rules": failed})
-    return got.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*names.values())
+    scratch = Scratch(df.sparkSession)
+    return judged(scratch.keep(with_counts(df, text), "counted"), scratch, lang, source, min_docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    got = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return got.select("doc_id", *COUNTS, "base_failed", "kept")
+    scratch = Scratch(spark)
+    counted = with_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    return judged(scratch.keep(counted, "counted"), scratch).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-_RATES_SQL = {
-    "symbol_rate": "n_symbols * 1000 // greatest(word_chars, 1)",
-    "dup_line_rate": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-    "repeat_rate": "n_repeat_words * 1000 // greatest(n_words, 1)",
-    "upper_rate": "upper_n * 1000 // greatest(upper_n + lower_n, 1)",
-    "word_length": "word_chars * 1000 // greatest(n_words, 1)",
-}
+#: The rates' counts and units in the oracle.
+_SQL = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "upper_rate": ("upper_n", "upper_n + lower_n"), "word_length": ("word_chars", "n_words")}
 
 
 def oracle_sql() -> str:
-    """The same rows in DuckDB, with exact window strings instead of hashes."""
+    """The same rows in DuckDB: exact window strings instead of hashes; exact quantiles of the rates,
+    rounded up to what a bucket holds (six leading bits), instead of sketches; the verdict in integers."""
     word = r"[^\x20\x09-\x0D]+"
-    least = " ".join(f"WHEN '{r}' THEN {v}" for r, v in RATES.items())
+    pairs = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{r}' AS rule, ({k})::HUGEINT AS k, greatest({n}, 1)::HUGEINT AS n FROM r" for r, (k, n) in _SQL.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{word}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM d),
@@ -171,19 +190,19 @@ c AS (
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS upper_n, length(regexp_replace(text, '[^a-z]+', '', 'g')) AS lower_n
   FROM w LEFT JOIN cov USING (rid)),
-r AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words) AS base_failed, {", ".join(f"{v} AS {k}" for k, v in _RATES_SQL.items())} FROM c),
-u AS (UNPIVOT (SELECT rid, lang, source, base_failed, {", ".join(f"{k}::BIGINT AS {k}" for k in RATES)} FROM r) ON {", ".join(RATES)} INTO NAME rule VALUE v),
-e AS (SELECT *, greatest(length(bin(v)) - 6, 0)::BIGINT AS ex FROM u),
-s AS (SELECT *, ex * 32 + (v >> ex) AS b FROM e),
-t AS (SELECT *, (((b - greatest(b // 32 - 1, 0) * 32 + 1) << greatest(b // 32 - 1, 0)) - 1) AS top FROM s),
+r AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words) AS base_failed FROM c),
+u AS ({pairs}),
 q AS (
-  SELECT lang, source, rule, grouping(lang, source) AS g, count(*) AS docs, quantile_disc(top, 0.25) AS q1, quantile_disc(top, 0.75) AS q3
-  FROM t WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))),
-f AS (SELECT *, CASE WHEN docs >= {MIN_DOCS} THEN q3 + greatest({SPREADS} * (q3 - q1), CASE rule {least} END) END AS fence FROM q),
-j AS (
-  SELECT t.rid, bool_or(coalesce(t.v > coalesce(f2.fence, f1.fence, f0.fence), false)) AS bad
-  FROM t LEFT JOIN f f2 ON f2.g = 0 AND f2.rule = t.rule AND f2.lang IS NOT DISTINCT FROM t.lang AND f2.source IS NOT DISTINCT FROM t.source
-  LEFT JOIN f f1 ON f1.g = 1 AND f1.rule = t.rule AND f1.lang IS NOT DISTINCT FROM t.lang AND f2.rule IS NOT NULL
-  LEFT JOIN f f0 ON f0.g = 3 AND f0.rule = t.rule AND f2.rule IS NOT NULL GROUP BY t.rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT bad) AS kept FROM r JOIN j USING (rid)
+  SELECT lang, source, rule, grouping(lang, source) AS g, count(*) AS docs, {", ".join(f"quantile_disc((1000 * k // n)::BIGINT, {p / 100}) AS {name}" for name, p in QUANTILES.items())}
+  FROM u WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))),
+t AS (SELECT lang, source, rule, g, docs, {", ".join(f"CASE WHEN {name} < 64 THEN {name} ELSE ({name} // (2 ** (floor(log2(greatest({name}, 1))) - 5))::BIGINT + 1) * (2 ** (floor(log2(greatest({name}, 1))) - 5))::BIGINT - 1 END AS {name}" for name in QUANTILES)} FROM q),
+f AS (SELECT lang, source, rule, g, docs, q90 + floor({HALF_TAILS / 2} * (q90 - q75))::BIGINT AS hi, greatest(q10 - floor({HALF_TAILS / 2} * (q25 - q10))::BIGINT, 0) AS lo FROM t),
+x AS (
+  SELECT u.rid, u.k, u.n, CASE WHEN f2.docs >= {MIN_DOCS} THEN f2.hi WHEN f1.docs >= {MIN_DOCS} THEN f1.hi ELSE f0.hi END AS hi,
+    CASE WHEN f2.docs >= {MIN_DOCS} THEN f2.lo WHEN f1.docs >= {MIN_DOCS} THEN f1.lo ELSE f0.lo END AS lo
+  FROM u LEFT JOIN f f2 ON f2.g = 0 AND f2.rule = u.rule AND f2.lang IS NOT DISTINCT FROM u.lang AND f2.source IS NOT DISTINCT FROM u.source
+  LEFT JOIN f f1 ON f1.g = 1 AND f1.rule = u.rule AND f1.lang IS NOT DISTINCT FROM u.lang
+  LEFT JOIN f f0 ON f0.g = 3 AND f0.rule = u.rule WHERE f2.rule IS NOT NULL),
+j AS (SELECT rid, bool_or(greatest(1000 * k - n * hi, 0) ** 2 > 1000 * {DEVIATIONS**2} * (n * hi + 1000) OR greatest(n * lo - 1000 * k, 0) ** 2 > 1000 * {DEVIATIONS**2} * (n * lo + 1000)) AS bad FROM x GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT coalesce(bad, false)) AS kept FROM r LEFT JOIN j USING (rid)
 """

@@ -71,6 +71,52 @@ def test_quality_rules_handle_anything(spark):
     assert got[0][0] is False and "symbol_rate" in got[0][1] and all(v[0] for k, v in got.items() if k)
 
 
+def brute_quality(rows, least):
+    """kept of (text, lang, source) rows, with a sketch of six leading bits."""
+    rates = []
+    for t, *_ in rows:
+        n, chars, symbols, dup, repeated = base_counts(t)
+        lines = sum(1 for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r"))
+        upper, letters = sum("A" <= c <= "Z" for c in t or ""), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in t or "")
+        rates.append((n < 50 or 100 * repeated > 50 * n, [(k, max(u, 1)) for k, u in ((symbols, chars), (dup, lines), (repeated, n), (upper, letters), (chars, n))]))
+
+    def top(v):
+        step = 2 ** max(v.bit_length() - 6, 0)
+        return v // step * step + step - 1
+
+    def kept(i):
+        bad, own = rates[i]
+        levels = [[j for j, r in enumerate(rows) if not rates[j][0] and r[3 - w : 3] == rows[i][3 - w : 3]] for w in (2,)] + [[j for j, r in enumerate(rows) if not rates[j][0] and r[1] == rows[i][1]], [j for j in range(len(rows)) if not rates[j][0]]]
+        group = next((g for g in levels[:2] if len(g) >= least), levels[2])
+        for x in range(5):
+            vs = sorted(1000 * rates[j][1][x][0] // rates[j][1][x][1] for j in group)
+            q10, q25, q75, q90 = (top(vs[-(-len(vs) * q // 100) - 1]) for q in (10, 25, 75, 90))
+            hi, lo, (k, u) = q90 + 15 * (q90 - q75) // 2, max(q10 - 15 * (q25 - q10) // 2, 0), own[x]
+            for over, f in ((k - u * hi / 1000, hi), (u * lo / 1000 - k, lo)):
+                if over > 0 and over > 3 * (u * f / 1000 + 1) ** 0.5 + 1e-9:
+                    return False
+        return not bad
+
+    return [kept(i) for i in range(len(rows))]
+
+
+def test_quality_rules_against_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(160):
+        w = words(rng, rng.randrange(40, 160), 4000)
+        lang, source = rng.choice([("en", "a"), ("en", "a"), ("en", "b"), ("de", "a"), (None, None)])
+        for _ in range(rng.choice([0, 0, 0, 0, 1, 30])):
+            w[rng.randrange(len(w))] = rng.choice(["#", "|*|", "LOUD", "averyverylongword" * 3, "w1 w2 w3"])
+        w += ["x y"] * (60 * (i % 29 == 0))
+        rows.append(("\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12)), lang, source))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(5)
+    for least in (20, 1000):
+        want = brute_quality(rows, least)
+        got = {r.doc_id: (r.kept, r.base_failed or bool(r.failed_rules)) for r in quality_rules.quality_rules(df, min_docs=least).collect()}
+        assert [got[i][0] for i in range(160)] == want and all(k != out for k, out in got.values()) and 100 < sum(want) < 155
+
+
 # token counts
 
 
