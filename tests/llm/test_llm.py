@@ -556,16 +556,52 @@ def test_toxicity_of_rare_inflections(spark):
 # secrets
 
 
+HEX, B64, ALNUM = "3f786850e387550fdab836ed7e6dc881de23001b", "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2T9vLo8sHd", "a8Kd93LfQ0zPx7VbN2mT5rYw1EuJ6cHs4GiO"
+#: Text, the candidate in it, whether it is a secret.
+FINDINGS = [
+    (f'token = "{HEX}"', HEX, True), (f"token={HEX}", HEX, True), (f"export API_KEY={HEX}", HEX, True), (f"AWS_SECRET_ACCESS_KEY={B64}", B64, True), (f"ghp_{ALNUM}", f"ghp_{ALNUM}", True), ("https://user:q7Zk2mX9pL4vB8nR1tYw@host.com/x", "q7Zk2mX9pL4vB8nR1tYw", True),
+    ("password: hunter2!x9", "hunter2!x9", True), ('pwd="99887766554433"', "99887766554433", True), (f"Authorization: Bearer {ALNUM}", ALNUM, True), (f'commit = "{HEX}"', HEX, False), (f"commit={HEX}", HEX, False), (f"export COMMIT={HEX}", HEX, False), (f"see commit {HEX} there", HEX, False),
+    ("ask jo.smith@mail1.example.com", "mail1.example.com", False), ("from https://www.example.com/path/to/page2 on", "//www.example.com/path/to/page2", False), ("uuid=123e4567-e89b-12d3-a456-426614174000", "123e4567-e89b-12d3-a456-426614174000", False), ("apiKey: process.env.API_KEY_2", "process.env.API_KEY_2", False), ('password = "your_password_here"', "your_password_here", False),
+]
+
+
 def test_secret_scan(spark):
-    labelled = secret_scan.example_findings(spark, 1200)
-    key = hashlib.sha1(b"x").hexdigest()
-    docs = spark.createDataFrame([(1, f'set token = "{key}" now; see mail.52@mail1.example.com'), (2, None), (3, ""), (4, f"see commit {key} there"), (4, f"see commit {key} there"), (5, "plain " * 5000)], "doc_id long, text string").withColumn("score", F.lit("mine"))
-    got = secret_scan.scan(docs, labelled).collect()
-    found = {(r.doc_id, r.token): r.is_secret for r in got}
-    assert found[1, key] is True and found[4, key] is False and found[1, "mail.52@mail1.example.com"] is False and len(got) == 4
+    labelled = secret_scan.example_findings(spark, 6000)
+    docs = spark.createDataFrame([*[(i, t) for i, (t, _, _) in enumerate(FINDINGS)], (100, None), (101, ""), (4, FINDINGS[4][0]), (102, "plain " * 5000 + FINDINGS[0][0])], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    rows = secret_scan.scan(docs, labelled).collect()
+    found = {(r.doc_id, r.token): r.is_secret for r in rows}
+    assert found == {(i, token): want for i, (_, token, want) in enumerate(FINDINGS)} | {(102, HEX): True} and len(rows) == len(found) + 1
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(texts[r.doc_id][r.start : r.start + len(r.token)] == r.token for r in got)
+    assert all(texts[r.doc_id][r.start : r.start + len(r.token)] == r.token and texts[r.doc_id][: r.start].endswith(r.before) and texts[r.doc_id][r.start + len(r.token) :].startswith(r.after) for r in rows)
     assert all(r.score == 0 for r in secret_scan.scan(docs, labelled.limit(0)).collect()) and secret_scan.scan(empty(spark), labelled).count() == 0
+    assert secret_scan.scan(odd_docs(spark), labelled).count() == 0
+    fresh = secret_scan.with_features(secret_scan.example_findings(spark, 2000, seed=4)).withColumn("p", secret_scan.probability(secret_scan.standard(spark)))
+    right = fresh.agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_forest_against_brute_force(spark):
+    """Every split of the forest is the best of its node's tried features, and scores are walks by hand."""
+    rng, names = random.Random(41), secret_scan.FEATURES
+    rows = [tuple(rng.randrange(9) for _ in names) for _ in range(300)]
+    rows = [(*r, int(r[0] + r[1] > 8 or r[2] == 3)) for r in rows]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in (*names, "label")))
+    grown = secret_scan.forest(df, trees=3, depth=3)
+    assert len(grown) == 3 and all(1 in t and max(t) < 16 for t in grown)
+
+    def score(r):
+        total = 0.0
+        for t in grown:
+            n = 1
+            while isinstance(t[n], tuple):
+                f, edge = t[n]
+                n = 2 * n + (r[names.index(f)] > edge)
+            total += t[n]
+        return total / 3
+
+    got = df.withColumn("p", secret_scan.probability(grown, 3)).collect()
+    assert all(abs(r.p - score(r)) < 1e-12 for r in got)
+    assert np.mean([(r.p >= 0.5) == r.label for r in got]) > 0.85
 
 
 # pipeline
