@@ -5,9 +5,9 @@ and from its neighbours through learned transition weights, so runs of words in
 are told apart within a code-switched text. Forward-backward gives each word the probability
 of each label given the whole text; a text's language is the label with the greatest mean.
 
-Training fits weights by stochastic gradient ascent of the conditional likelihood on a sample
-of labelled texts of bounded size (MOST_TEXTS, MOST_WORDS; documented limits of the fit, not
-of prediction). Prediction runs over whole texts: words are scored once and remembered (a
+Training fits weights by stochastic gradient ascent of the conditional likelihood on whole texts,
+cut into chains of PIECE words, of a bounded number of labelled rows (MOST_TEXTS, a documented
+limit of the fit, not of prediction). Prediction runs over whole texts: words are scored once and remembered (a
 bounded memory), and the chains of all texts of a batch advance in step, cut into blocks whose
 transfer matrices are composed by a scan, so a very long text takes no longer chain of steps.
 """
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import table, without
 
-#: Labelled texts that are fitted at most, and words of each that training reads.
-MOST_TEXTS, MOST_WORDS = 4000, 60
+#: Labelled texts that are fitted at most; words of a chain, and chains of a gradient step.
+MOST_TEXTS, PIECE, STEP = 4000, 64, 32
 #: Texts that a label is given even where there are so many labels that MOST_TEXTS would give it fewer.
 LEAST_EACH = 200
-BITS, EPOCHS, RATE, LEXICON = 16, 3, 0.5, 2000
+BITS, EPOCHS, RATE, LEXICON = 16, 1, 0.3, 2000
 KNOWN_WORDS, BLOCK = 300_000, 32
 
 
@@ -63,11 +63,6 @@ def features(word: str, lexicon: frozenset[str]) -> list[int]:
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names]
 
 
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 class Scores(dict):
     """Row numbers of the scores of the words met so far."""
 
@@ -178,49 +173,94 @@ class Model:
         return out
 
 
+class Features:
+    """Features of all words of the fit, a word after another."""
+
+    def __init__(self, words: list[str], lexicon: frozenset[str]):
+        self.number = {w: i for i, w in enumerate(words)}
+        lists = [features(w, lexicon) for w in words]
+        self.flat = np.array([f for x in lists for f in x], np.int64)
+        self.count = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of some words end to end, where each word's begin, and how many it has."""
+        n = self.count[words]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.first[words] - ends + n, n) + np.arange(ends[-1])], ends - n, n
+
+
+def posteriors(score: np.ndarray, live: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities (chain, word, label) and expected transitions of chains that are filled up
+    with words that are not live."""
+    push = np.exp(score - score.max(2, keepdims=True))
+    step = np.exp(move)
+    many, long, size = score.shape
+    fwd, bwd = np.empty_like(push), np.ones_like(push)
+    fwd[:, 0] = push[:, 0] / push[:, 0].sum(1, keepdims=True)
+    for k in range(1, long):
+        v = (fwd[:, k - 1] @ step) * push[:, k]
+        fwd[:, k] = np.where(live[:, k, None], v / v.sum(1, keepdims=True), fwd[:, k - 1])
+    for k in range(long - 2, -1, -1):
+        v = (push[:, k + 1] * bwd[:, k + 1]) @ step.T
+        bwd[:, k] = np.where(live[:, k + 1, None], v / v.max(1, keepdims=True), 1.0)
+    out = fwd * bwd
+    out /= out.sum(2, keepdims=True)
+    pairs = fwd[:, :-1, :, None] * step * (push * bwd)[:, 1:, None, :]
+    pairs *= (live[:, 1:] / pairs.sum((2, 3)))[:, :, None, None]
+    return out, pairs.sum((0, 1))
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model | None:
-    """Fit on (text, label) rows by gradient steps on one text's chain at a time.
+    """Fit on (text, label) rows by gradient steps (a rate per weight, falling with the gradients that
+    it has had) on STEP chains at a time.
 
-    Labels of a text's words are all its own; to learn transitions between languages, every
-    third chain is spliced with another text's, which makes code-switched examples."""
+    Labels of a text's words are all its own; to learn transitions between languages, the second
+    half of every third chain is another text's, which makes code-switched examples."""
     labels = sorted({y for _, y in rows})
     if not labels:
         return None
-    number = {y: i for i, y in enumerate(labels)}
-    chains = [(words_of(t)[:MOST_WORDS], number[y]) for t, y in rows]
-    chains = [c for c in chains if c[0]]
-    counts = Counter(w for c, _ in chains for w in c)
+    number, size = {y: i for i, y in enumerate(labels)}, len(labels)
+    texts = [(words_of(t), number[y]) for t, y in rows]
+    counts = Counter(w for c, _ in texts for w in c)
     lexicon = frozenset(w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
-    known = {w: np.array(features(w, lexicon)) for w in counts}
-    emit, move, size = np.zeros((1 << BITS, len(labels))), np.zeros((len(labels), len(labels))), len(labels)
+    known = Features(list(counts), lexicon)
+    chains = [(np.array([known.number[w] for w in c[i : i + PIECE]], np.int64), y) for c, y in texts for i in range(0, len(c), PIECE)]
+    emit, move = np.zeros((1 << BITS, size)), np.zeros((size, size))
+    had, moved = np.full((1 << BITS, size), 1e-2), np.full((size, size), 1e-2)
     rng = np.random.Generator(np.random.PCG64(seed))
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(chains))
-        for turn, i in enumerate(order):
-            words, truth = chains[i][0], [chains[i][1]] * len(chains[i][0])
-            if turn % 3 == 0:
-                other, y = chains[order[turn - 1]]
-                words, truth = words[: len(words) // 2 + 1] + other[: len(other) // 2], truth[: len(words) // 2 + 1] + [y] * (len(other) // 2)
-            feats = [known[w] for w in words]
-            s = np.array([emit[f].sum(0) for f in feats])
-            a, b = np.empty_like(s), np.zeros_like(s)
-            a[0] = s[0]
-            for k in range(1, len(s)):
-                a[k] = s[k] + logsumexp(a[k - 1][:, None] + move, 0)
-            for k in range(len(s) - 2, -1, -1):
-                b[k] = logsumexp(move + (s[k + 1] + b[k + 1])[None], 1)
-            z = logsumexp(a[-1], 0)
-            grad = -np.exp(a + b - z)
-            grad[np.arange(len(s)), truth] += 1
-            lr = rate / (1 + epoch)
-            if len(s) > 1:
-                pair = np.exp(a[:-1, :, None] + move[None] + (s[1:] + b[1:])[:, None, :] - z).sum(0)
-                seen = np.zeros((size, size))
-                np.add.at(seen, (truth[:-1], truth[1:]), 1)
-                move += lr * 0.05 * (seen - pair)
-            for f, g in zip(feats, grad):
-                emit[f] += lr / len(f) ** 0.5 * 0.3 * g
-    return Model(labels, lexicon, emit.astype(np.float64), move)
+        for at in range(0, len(order), STEP):
+            some = order[at : at + STEP]
+            words, truth, live = np.zeros((len(some), PIECE), np.int64), np.zeros((len(some), PIECE), np.int64), np.zeros((len(some), PIECE), bool)
+            for r, i in enumerate(some):
+                (w, y), half = chains[i], PIECE
+                words[r, : len(w)], truth[r], live[r, : len(w)] = w, y, True
+                if r % 3 == 0 and len(w) > 1:
+                    half = len(w) // 2
+                    (w, y) = chains[some[r - 1]]
+                    w = w[: PIECE - half]
+                    words[r, half : half + len(w)], truth[r, half:] = w, y
+                    live[r, half:] = False
+                    live[r, half : half + len(w)] = True
+            flat, first, n = known.of(words[live])
+            score = np.zeros((*words.shape, size))
+            score[live] = np.add.reduceat(emit[flat], first, axis=0)
+            p, pairs = posteriors(score, live, move)
+            grad = -p[live]
+            grad[np.arange(len(grad)), truth[live]] += 1
+            # one sum per weight, then a step
+            used, slot = np.unique(flat, return_inverse=True)
+            spread = np.repeat(grad, n, axis=0)
+            g = np.stack([np.bincount(slot, spread[:, k], len(used)) for k in range(size)], axis=1)
+            had[used] += g * g
+            emit[used] += rate * g / np.sqrt(had[used])
+            seen, both = np.zeros((size, size)), live[:, 1:]
+            np.add.at(seen, (truth[:, :-1][both], truth[:, 1:][both]), 1)
+            moved += (seen - pairs) ** 2
+            move += rate * (seen - pairs) / np.sqrt(moved)
+    return Model(labels, lexicon, emit, move)
 
 
 def sample(df: DataFrame, text: str, label: str, key: str, most: int = MOST_TEXTS) -> list[tuple[str, str]]:
@@ -228,8 +268,8 @@ def sample(df: DataFrame, text: str, label: str, key: str, most: int = MOST_TEXT
 
     A label's texts are ranked by their hash, copies counted once, and the labels take turns until
     there are ``most``; beyond that a label is still given its first LEAST_EACH. Hashes are ranked
-    before a text is fetched, and only as many characters of it as training can read."""
-    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.substring(text, 1, 12 * MOST_WORDS).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(11)).alias("d"), F.xxhash64(F.col(text), F.lit(11)).alias("h"))
+    before a text is fetched, whole."""
+    rows = df.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(11)).alias("d"), F.xxhash64(F.col(text), F.lit(11)).alias("h"))
     ranked = rows.groupBy("y", "h").agg(F.min("d").alias("d"))
     # ranked within 64 parts of a label first, so that a common label is not one task's
     for part in (F.pmod("h", F.lit(64)), F.lit(0)):
@@ -246,7 +286,9 @@ def sample(df: DataFrame, text: str, label: str, key: str, most: int = MOST_TEXT
 def identify(df: DataFrame, model: Model | None, text: str = "text", words: bool = True) -> DataFrame:
     """All rows of ``df`` with lang_pred, score and, if asked, word_langs (a label per word with
     letters). Null texts and texts without a letter are ``und`` with score 0, and so is all
-    text if no label was learned. Input columns of these names are replaced."""
+    text if no label was learned. Long texts are read whole, repeated ones labelled alike; of labels
+    with equal means the first in code point order counts; an empty table gives an empty result.
+    Input columns of these names are replaced."""
     df = without(df, "lang_pred", "score", "word_langs")
     shared = df.sparkSession.sparkContext.broadcast(model)
 

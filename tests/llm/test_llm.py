@@ -432,6 +432,11 @@ def lang_rows(rng, n=240):
     return [(" ".join("".join(rng.choice("abdeklmor") for _ in range(3)) + rng.choice(e) for _ in range(rng.randrange(3, 20))), y) for y, e in ends.items() for _ in range(n // 3)]
 
 
+def logsumexp(x, axis):
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
 def test_crf_marginals_and_accuracy(spark):
     rng = random.Random(11)
     model = crf.fit(lang_rows(rng))
@@ -440,10 +445,14 @@ def test_crf_marginals_and_accuracy(spark):
         s = model.known.of(chain)
         a, b = [s[0]], [np.zeros(3)]
         for k in range(1, len(s)):
-            a.append(s[k] + crf.logsumexp(a[-1][:, None] + model.move, 0))
+            a.append(s[k] + logsumexp(a[-1][:, None] + model.move, 0))
         for k in range(len(s) - 2, -1, -1):
-            b.insert(0, crf.logsumexp(model.move + (s[k + 1] + b[0])[None], 1))
-        p = np.exp(np.array(a) + np.array(b) - crf.logsumexp(a[-1], 0))
+            b.insert(0, logsumexp(model.move + (s[k + 1] + b[0])[None], 1))
+        p = np.exp(np.array(a) + np.array(b) - logsumexp(a[-1], 0))
+        score, live = np.zeros((2, 80, 3)), np.zeros((2, 80), bool)
+        score[0, :n], live[0, :n], live[1, 0] = s, True, True
+        got, pairs = crf.posteriors(score, live, model.move)
+        assert np.allclose(got[0, :n], p, atol=1e-9) and np.isclose(pairs.sum(), n - 1)
         assert np.allclose(model.marginals([[], chain, []])[1], p, atol=1e-9)
     test = lang_rows(random.Random(12))
     got = model.predict([t for t, _ in test])
