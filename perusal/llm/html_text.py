@@ -7,8 +7,14 @@ would be, list items with markers and indentation, table cells in aligned column
 preformatted text as it is, of form fields what they show, of drawings and formulas their text.
 Nothing is judged by content: all that shows is kept.
 
+Visibility follows attributes, inline styles and the simple selectors (tag, class, id) of style
+sheets: what isn't displayed is dropped with all in it, hidden text may hold a part that is visible
+again, and closed details show their summary.
+
 Pages stay where they are scanned: one Arrow-batched pass without a shuffle. Trees are built
-and walked without recursion, so deep nesting is no limit, and time grows with the input.
+and walked without recursion; nested lists and quotations are kept as parts with a mark and an
+indent and written out once, so time and text grow with the input. Indents stop growing at
+MOST_INDENT columns, and tables within MOST_TABLES others show their cells one below another.
 """
 
 from __future__ import annotations
@@ -56,10 +62,13 @@ CLOSES = {
 #: Elements that end an open paragraph.
 ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption option optgroup legend summary".split())
 _SCOPE = frozenset("table td th caption button object template html".split())
-#: Formatting that goes on in the next block if a block's end closed it.
+#: Columns of indentation that are written at most; tables around one whose cells are still aligned; most columns and rows of a cell.
+MOST_INDENT, MOST_TABLES, MOST_COLUMNS, MOST_ROWS = 80, 12, 1000, 65534
 _TAG = re.compile(r"<(?:!--|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)|(?P<bogus>[!?/]))")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?([.#][\w-]+)?", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -189,11 +198,67 @@ def parse(html: str) -> Node:
     return root
 
 
+def sheet(root: Node) -> None:
+    """Put what style sheets say of display and visibility into the styles of the elements that their
+    simple selectors name. An element's own style comes last and so counts first."""
+    css, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        for c in x.children:
+            if not isinstance(c, str):
+                todo.append(c)
+                if c.name == "style" and "media" not in c.attrs:
+                    css.extend(t for t in c.children if isinstance(t, str))
+    rules: dict[tuple[str, str], str] = {}
+    for selectors, body in blocks(re.sub(r"/\*.*?\*/", "", "\n".join(css), flags=re.S)):
+        said = "".join(f";{m[0]}" for p in (_NONE, _VISIBILITY, re.compile(r"display\s*:\s*\w+", re.I)) if (m := p.search(body)))
+        for one in selectors.split(",") if said else ():
+            if (m := _SELECTOR.fullmatch(one.strip())) and m[0]:
+                key = (m[1] or "*").lower(), m[2] or ""
+                rules[key] = rules.get(key, "") + said
+    if not rules:
+        return
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        names = ["", *(f".{c}" for c in x.attrs.get("class", "").split()), "#" + x.attrs.get("id", "")]
+        said = "".join(rules.get((tag, n), "") for n in names for tag in ("*", x.name))
+        if said:
+            x.attrs["style"] = f"{said};{x.attrs.get('style', '')}"
+        todo.extend(c for c in x.children if not isinstance(c, str))
+
+
+def blocks(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold for every medium."""
+    depth, begin, at = 0, 0, 0
+    for m in re.finditer(r"[{}]", css):
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                selectors, at = css[begin : m.start()].strip(), m.end()
+        elif depth:
+            depth -= 1
+            if not depth:
+                begin = m.end()
+                if not selectors.startswith("@"):
+                    yield selectors.rsplit(";", 1)[-1], css[at : m.start()]
+
+
 def visible(node: Node) -> bool:
+    """Whether a node is displayed at all."""
     a = node.attrs
     if node.name in HIDDEN or "hidden" in a or FOREIGN in a and node.name in UNDRAWN or node.name == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _NONE.search(a["style"]))
+    if "style" not in a:
+        return True
+    last = re.findall(r"display\s*:\s*(\w+)", a["style"], re.I)
+    return not last or last[-1].lower() != "none"
+
+
+def hushed(node: Node, now: bool) -> bool:
+    """Whether the text in a node is laid out but not shown; ``now`` is so of its parent."""
+    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return said[-1].lower() != "visible" if said else now
 
 
 def content(node: Node) -> str:
@@ -243,12 +308,13 @@ def width(s: str) -> int:
 
 
 class Lines:
-    """Text under construction: lines, the open line, and how many blank lines are due."""
+    """Text under construction: lines and parts, the open line, and how many blank lines are due."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        #: Lines, and parts (mark, indent, Lines), whose first line has the mark and whose others the indent.
+        self.lines: list[str | tuple[str, str, Lines]] = []
         self.open: list[str] = []
-        self.gap, self.space, self.lead = 0, False, ""
+        self.gap, self.space = 0, False
 
     def inline(self, s: str) -> None:
         parts = _BLANKS.split(s)
@@ -270,30 +336,132 @@ class Lines:
         if line:
             self.put(line)
 
-    def put(self, line: str) -> None:
+    def put(self, line: str | tuple[str, str, Lines]) -> None:
         if self.lines and self.gap:
             self.lines.extend([""] * self.gap)
         self.gap = 0
         self.lines.append(line)
 
+    def add(self, part: Lines, mark: str = "", indent: str = "") -> None:
+        part.flush()
+        if part.lines:
+            self.put((mark, indent, part))
+
     def margin(self) -> None:
         self.flush()
         if self.lines:
             self.gap = 1
 
+    def flat(self) -> list[str]:
+        """All lines, parts written out."""
+        self.flush()
+        out: list[str] = []
+        # lines left of a part, what its next line begins with, and what those after do
+        todo = [[iter(self.lines), "", ""]]
+        while todo:
+            line = next(todo[-1][0], None)
+            if line is None:
+                todo.pop()
+                continue
+            _, lead, rest = todo[-1]
+            todo[-1][1] = rest
+            if isinstance(line, str):
+                out.append((lead + line).rstrip() if lead else line)
+            else:
+                mark, indent, part = line
+                todo.append([iter(part.lines), lead + mark, rest + indent if len(rest) < MOST_INDENT else rest])
+        return out
+
+
+class Table:
+    """Rows of cells (lines, columns, rows) of a table, and what else it holds, in order."""
+
+    def __init__(self, aligned: bool):
+        self.rows: list[list[tuple[Lines, int, int]] | Lines] = []
+        self.aligned = aligned
+
+    def into(self, out: Lines) -> None:
+        one = not self.aligned or all(isinstance(r, Lines) or len(r) < 2 for r in self.rows)
+        block: list[list[tuple[Lines, int, int]]] = []
+        for r in [*self.rows, Lines()]:
+            if not isinstance(r, Lines) and not one:
+                block.append(r)
+                continue
+            for line in aligned(block):
+                out.put(line)
+            block = []
+            for part in [r] if isinstance(r, Lines) else [c[0] for c in r]:
+                out.add(part)
+
+
+def times(node: Node, name: str, most: int) -> int:
+    said = node.attrs.get(name, "1").strip()
+    return min(int(said), most) if re.fullmatch(r"0*[1-9]\d{0,8}", said) else 1
+
+
+def number_of(node: Node, name: str, otherwise: int) -> int:
+    said = node.attrs.get(name, "").strip()
+    return int(said) if re.fullmatch(r"-?\d{1,9}", said) else otherwise
+
 
 def render(root: Node) -> str:
     """The visible text of a tree, laid out."""
-    out = Lines()
-    #: what is left to do: ("open", node) or an action when the node's content is done
-    todo: list[tuple] = [("node", c, False) for c in reversed(root.children)]
-    outs, lists, pre = [out], [], 0
+    #: What is left to do: a node, a part of a table or row, or what follows a node's content.
+    todo: list[tuple] = [("node", c) for c in reversed(root.children)]
+    outs: list = [Lines()]
+    lists: list[list] = []
+    pre, tables, hush = 0, 0, False
     while todo:
         what, x, *more = todo.pop()
         out = outs[-1]
+        if what == "hush":
+            hush = more[0]
+            continue
+        if what in ("node", "part") and not isinstance(x, str):
+            if not visible(x):
+                continue
+            if (now := hushed(x, hush)) != hush:
+                todo.append(("hush", x, hush))
+                hush = now
+        if what == "part":
+            kind = more[0]
+            inner = [] if isinstance(x, str) else [c for c in reversed(x.children) if not isinstance(c, str) or c.strip()]
+            if isinstance(x, str):
+                name = ""
+            else:
+                name = x.name
+            if kind == "table" and name in ("tbody", "thead", "tfoot", "colgroup", "col"):
+                todo.extend(("part", c, kind) for c in inner)
+            elif kind == "table" and name == "tr":
+                outs.append([])
+                todo.append(("done", x, pre))
+                todo.extend(("part", c, "tr") for c in inner)
+            elif kind == "tr" and name in ("td", "th"):
+                outs.append(Lines())
+                todo.append(("done", x, pre))
+                pre = 0
+                todo.extend(("node", c) for c in reversed(x.children))
+            elif kind == "table" and name in ("td", "th"):  # a cell without its row
+                outs.append([])
+                todo.append(("done", Node("tr"), pre))
+                todo.append(("part", x, "tr"))
+            else:  # anything else is shown as a row or cell of its own
+                outs.append(Lines())
+                todo.append(("loose", x, kind))
+                todo.append(("node", x))
+            continue
+        if what == "loose":
+            outs.pop()
+            out.flush()
+            if out.lines:
+                outs[-1].append((out, 1, 1)) if more[0] == "tr" else outs[-1].rows.append(out)
+            continue
         if what == "node":
             if isinstance(x, str):
-                if pre:
+                if hush:
+                    if pre or x.strip(" \t\n\f\r") != x:
+                        out.space = True
+                elif pre:
                     first, *rest = x.split("\n")
                     out.open.append(first)
                     for line in rest:
@@ -304,8 +472,6 @@ def render(root: Node) -> str:
                 else:
                     out.inline(x)
                 continue
-            if not visible(x):
-                continue
             name = x.name
             if name == "br":
                 if out.open:
@@ -318,216 +484,176 @@ def render(root: Node) -> str:
             if name == "hr":
                 out.margin()
                 continue
-            if name == "img":
-                if x.attrs.get("alt"):
-                    out.inline(x.attrs["alt"])
-                continue
             if name == "wbr":
                 continue
-            if name == "input":
-                out.inline(caption(x))
-                continue
-            if name == "select":
-                shown = chosen(x)
-                for s in shown:
-                    out.inline(s)
-                    if len(shown) > 1:
-                        out.flush()
-                continue
-            if name == "textarea":
-                rows = (content(x).removeprefix("\n") or x.attrs.get("placeholder", "")).split("\n")
-                if len(rows) > 1:
-                    out.flush()
-                    for s in rows:
-                        out.put(s.rstrip())
-                else:
-                    out.inline(rows[0])
+            if name in ("img", "input", "select", "textarea"):
+                if not hush:
+                    field(x, out)
                 continue
             if name in SIGNS and FOREIGN in x.attrs:
                 parts = [c for c in x.children if not isinstance(c, str)]
                 x.children = [c for part in parts for c in (SIGNS[name], part)][1:]
             if FOREIGN in x.attrs and name in ("text", "mtd", "mtr"):
                 out.inline(" ")
-            if name in ("td", "th", "caption", "li", "dd", "blockquote", "tr", "table"):
-                if name in MARGIN:
+            if name == "details" and "open" not in x.attrs:
+                x.children = [c for c in x.children if not isinstance(c, str) and c.name == "summary"][:1]
+            if name in ("table", "tr"):
+                if name == "table":
                     out.margin()
-                elif name != "tr":
-                    out.flush()
-                if name in ("td", "th", "li", "dd", "blockquote", "caption"):
-                    outs.append(Lines())
-                if name in ("table", "tr"):
-                    outs.append([])
+                    tables += 1
+                outs.append(Table(tables <= MOST_TABLES) if name == "table" else [])
                 todo.append(("done", x, pre))
                 pre = 0
-                if name in ("table", "tr"):
-                    # rows and cells are gathered; other content of a table shows before it
-                    loose = [c for c in x.children if not isinstance(c, str) or c.strip()]
-                    todo.extend(("part", c, name) for c in reversed(loose))
-                else:
-                    todo.extend(("node", c) for c in reversed(x.children))
+                # rows and cells are gathered; other content of a table shows between them
+                todo.extend(("part", c, name) for c in reversed(x.children) if not isinstance(c, str) or c.strip())
+                continue
+            if name in ("td", "th", "caption", "li", "dd", "blockquote"):
+                out.margin() if name in MARGIN else out.flush()
+                outs.append(Lines())
+                todo.append(("done", x, pre))
+                pre = 0
+                todo.extend(("node", c) for c in reversed(x.children))
                 continue
             if name in BLOCK:
                 out.margin() if name in MARGIN else out.flush()
             if name in ("ul", "ol", "menu", "dir"):
-                start = x.attrs.get("start", "1")
-                lists.append([name, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                lists.append([name, number_of(x, "start", 1)])
                 if len(lists) > 1:
                     out.gap = 0
             if name in ("pre", "listing", "xmp"):
                 pre += 1
-            if name == "q":
+            if name == "q" and not hush:
                 out.inline('"')
             todo.append(("done", x, pre))
             todo.extend(("node", c) for c in reversed(x.children))
-        elif what == "part":
-            kind = more[0]
-            group = kind == "table" and not isinstance(x, str) and x.name in ("tbody", "thead", "tfoot", "colgroup", "col")
-            if group:
-                if visible(x):
-                    todo.extend(("part", c, kind) for c in reversed(x.children) if not isinstance(c, str) or c.strip())
-            elif not isinstance(x, str) and (x.name == "tr" and kind == "table" or x.name in ("td", "th") and kind == "tr"):
-                if visible(x):
-                    if x.name == "tr":
-                        outs.append([])
-                        todo.append(("done", x, pre))
-                        todo.extend(("part", c, "tr") for c in reversed(x.children) if not isinstance(c, str) or c.strip())
-                    else:
-                        outs.append(Lines())
-                        todo.append(("done", x, pre))
-                        pre = 0
-                        todo.extend(("node", c) for c in reversed(x.children))
-            elif kind == "table" and not isinstance(x, str) and x.name in ("td", "th"):  # a cell without its row
-                outs.append([])
-                todo.append(("done", Node("tr"), pre))
-                todo.append(("part", x, "tr"))
-            else:  # anything else is shown as a row or cell of its own
-                outs.append(Lines())
-                todo.append(("loose", x, kind))
-                todo.append(("node", x))
-        elif what == "loose":
-            lines = finish(outs.pop())
-            if lines:
-                outs[-1].append((lines, 1) if more[0] == "tr" else lines)
-        else:
-            name = x.name
-            pre = more[0] if name in ("td", "th", "caption", "li", "dd", "blockquote", "tr", "table") else pre
+            continue
+        name = x.name
+        if name in ("td", "th", "caption", "li", "dd", "blockquote", "tr", "table"):
+            pre = more[0]
+            outs.pop()
+            over = outs[-1]
             if name in ("td", "th"):
-                lines = finish(outs.pop())
-                span = x.attrs.get("colspan", "1")
-                cell = (lines, min(int(span), 100) if re.fullmatch(r"0*[1-9]\d{0,3}", span) else 1)
-                if isinstance(outs[-1], list):
-                    outs[-1].append(cell)
-                else:  # a cell outside tables
-                    for line in lines:
-                        outs[-1].put(line)
+                out.flush()
+                over.append((out, times(x, "colspan", MOST_COLUMNS), times(x, "rowspan", MOST_ROWS))) if isinstance(over, list) else over.add(out)
             elif name == "tr":
-                cells = outs.pop()
-                if isinstance(outs[-1], list):
-                    outs[-1].append(("row", cells))
+                if isinstance(over, Table):
+                    over.rows.append(out)
                 else:
-                    for line in aligned([cells]):
-                        outs[-1].put(line)
+                    for line in aligned([out]):
+                        over.put(line)
             elif name == "table":
-                rows = outs.pop()
-                under: list[str] = []
-                block: list[list] = []
-                for r in rows:
-                    if isinstance(r, tuple) and r[0] == "row":
-                        block.append(r[1])
-                    else:
-                        under += aligned(block) + list(r)
-                        block = []
-                under += aligned(block)
-                for line in under:
-                    outs[-1].put(line)
-                outs[-1].margin()
-            elif name in ("li", "dd", "blockquote", "caption"):
-                lines = finish(outs.pop())
-                out = outs[-1]
-                if isinstance(out, list):
-                    out.append(lines)
-                elif lines:
-                    mark = "  "
-                    if name == "li":
-                        if lists and lists[-1][0] == "ol":
-                            value = x.attrs.get("value", "")
-                            if re.fullmatch(r"-?\d{1,9}", value):
-                                lists[-1][1] = int(value)
-                            mark = f"{lists[-1][1]}. "
-                            lists[-1][1] += 1
-                        else:
-                            mark = "- "
-                    elif name == "blockquote":
-                        mark = "> "
-                    elif name == "caption":
-                        mark = ""
-                    pad = mark if name == "blockquote" else " " * len(mark)
-                    for i, line in enumerate(lines):
-                        out.put(((mark if not i else pad) + line).rstrip() if line else pad.rstrip())
-                if not isinstance(out, list) and name == "blockquote":
-                    out.margin()
+                tables -= 1
+                out.into(over)
+                over.margin()
             else:
-                if name == "q":
-                    out.inline('"')
-                if FOREIGN in x.attrs and name in ("text", "mtd", "mtr"):
-                    out.inline(" ")
-                if name in ("pre", "listing", "xmp"):
-                    pre -= 1
-                    held = "".join(out.open)
-                    out.open = []
-                    if held:
-                        out.put(held)
-                if name in BLOCK:
-                    out.margin() if name in MARGIN else out.flush()
-                if name in ("ul", "ol", "menu", "dir") and lists:
-                    lists.pop()
-                    if lists:
-                        out.gap = 0
-    return "\n".join(finish(outs[0]))
-
-
-def finish(out: Lines) -> list[str]:
-    out.flush()
-    return out.lines
-
-
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, span) cells as text lines, columns padded to their widest cell and two
-    spaces apart. A cell that spans columns widens the last of them where it needs to."""
-    wide: list[int] = []
-    for one in (True, False):
-        for cells in rows:
-            at = 0
-            for lines, span in cells:
-                wide.extend([0] * (at + span - len(wide)))
-                need = max((width(line) for line in lines), default=0)
-                if (span == 1) == one:
-                    have = sum(wide[at : at + span]) + 2 * (span - 1)
-                    wide[at + span - 1] += max(0, need - have)
-                at += span
-    out = []
+                mark = {"caption": "", "blockquote": "> "}.get(name, "  ")
+                if name == "li":
+                    mark = "- "
+                    out.flush()
+                    if out.lines and lists and lists[-1][0] == "ol":
+                        at = lists[-1][1] = number_of(x, "value", lists[-1][1])
+                        mark, lists[-1][1] = f"{at}. ", at + 1
+                over.add(out, mark, mark if name == "blockquote" else " " * len(mark))
+                if name == "blockquote":
+                    over.margin()
+            continue
+        if name == "q" and not hush:
+            out.inline('"')
+        if FOREIGN in x.attrs and name in ("text", "mtd", "mtr"):
+            out.inline(" ")
+        if name in ("pre", "listing", "xmp"):
+            pre -= 1
+            held = "".join(out.open)
+            out.open = []
+            if held:
+                out.put(held)
+        if name in BLOCK:
+            out.margin() if name in MARGIN else out.flush()
+        if name in ("ul", "ol", "menu", "dir") and lists:
+            lists.pop()
+            if lists:
+                out.gap = 0
+    return "\n".join(outs[0].flat())
+
+
+def field(x: Node, out: Lines) -> None:
+    """What an image or a form field shows."""
+    if x.name == "img":
+        if x.attrs.get("alt"):
+            out.inline(x.attrs["alt"])
+    elif x.name == "input":
+        out.inline(caption(x))
+    elif x.name == "select":
+        shown = chosen(x)
+        for s in shown:
+            out.inline(s)
+            if len(shown) > 1:
+                out.flush()
+    else:
+        rows = (content(x).removeprefix("\n") or x.attrs.get("placeholder", "")).split("\n")
+        if len(rows) > 1:
+            out.flush()
+            for s in rows:
+                out.put(s.rstrip())
+        else:
+            out.inline(rows[0])
+
+
+def aligned(rows: list[list[tuple[Lines, int, int]]]) -> list[str]:
+    """Rows of (lines, columns, rows) cells as text lines, columns as wide as their widest cell and
+    two spaces apart. A cell over several columns widens the last of them where it needs to; one
+    over several rows shows in the first of them and keeps its columns free in the others."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    taken: list[tuple[int, int, int]] = []  # columns that earlier rows hold: first, end, rows left
     for cells in rows:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            line, at, place = [], 0, 0
-            used = 0
-            for lines, span in cells:
-                s = lines[k] if k < len(lines) else ""
-                if s:
-                    line.append(" " * (place - used) + s)
-                    used = place + width(s)
-                place += sum(wide[at : at + span]) + 2 * span
-                at += span
+        at, here, held = 0, [], iter(taken)
+        block = next(held, None)
+        for lines, columns, down in cells:
+            while block and block[0] < at + 1:
+                at, block = max(at, block[1]), next(held, None)
+            here.append((at, at + columns, lines.flat(), down))
+            at += columns
+        placed.append([c[:3] for c in here])
+        taken = sorted([(a, b, n - 1) for a, b, n in taken if n > 1] + [(a, b, n - 1) for a, b, _, n in here if n > 1])
+    # only columns at which a cell begins or ends count; each stands where all cells before it fit
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for here in placed:
+        for a, b, lines in here:
+            ends.setdefault(a, [])
+            ends.setdefault(b, []).append((a, max(map(width, lines), default=0)))
+    place: dict[int, int] = {}
+    last = -2
+    for e in sorted(ends):
+        last = place[e] = max([last + 2, *(place[a] + need + 2 for a, need in ends[e])])
+    out = []
+    for here in placed:
+        rows_ = [[] for _ in range(max((len(lines) for *_, lines in here), default=0))]
+        for a, _, lines in here:
+            for k, line in enumerate(lines):
+                if line:
+                    rows_[k].append((place[a], line))
+        for row in rows_:
+            line, used = [], 0
+            for at, s in row:
+                line.append(" " * (at - used) + s)
+                used = at + width(s)
             out.append("".join(line).rstrip())
     return out
 
 
 def html_to_text(html: str | None) -> str:
-    return render(parse(html)) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    if "<style" in html or "<STYLE" in html:
+        sheet(root)
+    return render(root)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """All rows of ``df`` with ``text``, the visible text of the page; null and empty pages give
-    empty text. An input column ``text`` is replaced; equal pages give equal texts."""
+    empty text, an empty table an empty result; long pages are read whole. An input column ``text``
+    is replaced; equal pages give equal texts."""
     df = without(df, "text")
 
     @F.pandas_udf("string")
