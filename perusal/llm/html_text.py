@@ -45,6 +45,8 @@ BARE = frozenset("hidden checkbox radio range color file".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul xmp listing optgroup option".split())
 #: Blocks with a blank line before and after.
 MARGIN = frozenset("article blockquote dl fieldset figure footer h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul aside form".split())
+#: Lists; one within another has no margin.
+LISTS = ("ul", "ol", "menu", "dir")
 #: An element that begins closes an open one of these, up to its scope.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -515,11 +517,9 @@ def render(root: Node) -> str:
                 todo.extend(("node", c) for c in reversed(x.children))
                 continue
             if name in BLOCK:
-                out.margin() if name in MARGIN else out.flush()
-            if name in ("ul", "ol", "menu", "dir"):
+                out.margin() if name in MARGIN and not (lists and name in LISTS) else out.flush()
+            if name in LISTS:
                 lists.append([name, number_of(x, "start", 1)])
-                if len(lists) > 1:
-                    out.gap = 0
             if name in ("pre", "listing", "xmp"):
                 pre += 1
             if name == "q" and not hush:
@@ -567,12 +567,10 @@ def render(root: Node) -> str:
             out.open = []
             if held:
                 out.put(held)
-        if name in BLOCK:
-            out.margin() if name in MARGIN else out.flush()
-        if name in ("ul", "ol", "menu", "dir") and lists:
+        if name in LISTS and lists:
             lists.pop()
-            if lists:
-                out.gap = 0
+        if name in BLOCK:
+            out.margin() if name in MARGIN and not (lists and name in LISTS) else out.flush()
     return "\n".join(outs[0].flat())
 
 
