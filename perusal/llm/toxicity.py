@@ -42,6 +42,7 @@ WINDOW, STEP, LEVEL, LEAST_MATCH = 96, 76, 4, 4
 #: Bytes of a dictionary's common beginning and of its trained end; the trainer's segment and gram sizes;
 #: windows of an ordinary text, from its whole length, that the trainer is given.
 BACKGROUND, TRAINED, SEGMENT, GRAM, SHOWN = 4096, 2048, 24, 6, 12
+KNOWN_WORDS = 200_000
 #: Least and greatest letters of a stem or an ending, and the share of passing units that may be false.
 LEAST_UNIT, MOST_UNIT, FALSE, RATIO = 4, 10, 0.01, 4
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -62,14 +63,14 @@ class Model:
     """Both dictionaries, the marked units, and the calibration."""
 
     def __init__(self, toxic: bytes, plain: bytes, marked: frozenset[str] = frozenset(), weights: tuple[float, ...] = (0.0,) * 7):
-        self.toxic, self.plain, self.marked, self.weights, self.ready = toxic, plain, marked, weights, None
+        self.toxic, self.plain, self.marked, self.weights, self.ready, self.known = toxic, plain, marked, weights, None, {}
 
     def __getstate__(self):
         return self.toxic, self.plain, self.marked, self.weights
 
     def __setstate__(self, state):
         self.toxic, self.plain, self.marked, self.weights = state
-        self.ready = None
+        self.ready, self.known = None, {}
 
     def compressors(self):
         if self.ready is None:
@@ -81,6 +82,14 @@ class Model:
                 self.ready.append(zstandard.ZstdCompressor(dict_data=words, compression_params=how).compress)
         return self.ready
 
+    def has_mark(self, word: str) -> bool:
+        """Whether a word has a marked unit; answers are kept in a memory of bounded size."""
+        if (got := self.known.get(word)) is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            got = self.known[word] = not self.marked.isdisjoint(units_of(word))
+        return got
+
     def features(self, text: str | None) -> tuple[float, ...]:
         """Greatest saving of a window, the share of windows that save, the mean saving, how many save
         much; how many words have a marked unit, and their share."""
@@ -88,7 +97,7 @@ class Model:
         text = normalise(text)
         saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)])
         counts = Counter(text.split())
-        hits = sum(n for w, n in counts.items() if not self.marked.isdisjoint(units_of(w))) if self.marked else 0
+        hits = sum(n for w, n in counts.items() if self.has_mark(w)) if self.marked else 0
         return float(np.clip(saved.max(), -20, 40)), float((saved >= 4).mean()), float(saved.mean()), float(np.log1p((saved >= 8).sum())), float(np.log1p(hits)), 10.0 * hits / max(counts.total(), 1)
 
     def score(self, text: str | None) -> float:
