@@ -391,7 +391,7 @@ def test_mix_handles_anything(spark):
 
 
 @needs_tokens
-def test_token_output_round_trip(spark, tmp_path):
+def test_token_output_round_trip(spark, tmp_path, monkeypatch):
     import public_tokenizers as P
 
     rng = random.Random(10)
@@ -421,6 +421,20 @@ def test_token_output_round_trip(spark, tmp_path):
                 part.append(t)
         assert sorted(texts) == sorted(t for _, t in rows if t) and not part
         assert {i for r in index for i in r.doc_ids} >= {r[0] for r in rows if r[1] and r[0] is not None}
+    # ids of another type, and more shards than tasks that write them
+    monkeypatch.setattr(token_output, "MOST_TASKS", 3)
+    named = df.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text", F.lit(1).alias("part"), F.lit(2).alias("n"))
+    m = token_output.materialise(named, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 70_000, f"file://{tmp_path}/wide", length=16, shard_slots=10)
+    rows_ = m.index.collect()
+    assert m.stride == 65 and {i for r in rows_ for i in r.doc_ids} == {f"d{r[0]}" for r in rows if r[1] and r[0] is not None} | {None}
+    wide = []
+    for r in sorted(rows_, key=lambda r: r.sequence):
+        (name,) = [f for f in os.listdir(f"{tmp_path}/wide/shard={r.shard}") if f.startswith("part-")]
+        data = open(f"{tmp_path}/wide/shard={r.shard}/{name}", "rb").read()
+        wide += np.frombuffer(data[r.byte_offset : r.byte_offset + 64], "<u4")[: r.n_tokens].tolist()
+    cut = lambda ids, end: sorted(x.strip() for x in " ".join(map(str, ids)).split(f" {end}"))
+    assert cut(wide, 70_000) == cut(stream, 50256) and len({r.shard for r in rows_}) > 50
+    assert not token_output.plain_scan(df.filter(F.rand() < 0.5)) and not token_output.plain_scan(df.orderBy("doc_id")) and token_output.plain_scan(df.filter("doc_id > 3"))
     nothing = token_output.materialise(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50256, f"file://{tmp_path}/none")
     assert nothing.total == 0 and nothing.index.count() == 0
 
