@@ -8,6 +8,7 @@ import logging
 
 from pyspark.sql import SparkSession
 
+from .functions import markup
 from .plans.tracker import Tracker
 from .sources import sinks
 
@@ -22,6 +23,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--as_of", type=datetime.date.fromisoformat, default=None, help="day that counts as today")
     p.add_argument("--time", default="1949.10", help="months YYYY.MM, comma-separated; 1949.10: this month")
     p.add_argument("--category", default="quant-ph", help="comma-separated, not trimmed")
+    p.add_argument("--cap", type=int, default=None, help="preprints that are kept a day, in page order")
+    p.add_argument("--requests", action="store_true", help="print the searches of the days, one URL a line, instead of reports")
     p.add_argument("--output_format", default="category/year/month/day")
     p.add_argument("--journal", default="")
     p.add_argument("--volume", default="")
@@ -36,9 +39,14 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
     logging.basicConfig(level=logging.DEBUG if a.debug else logging.INFO)
     spark = SparkSession.builder.appName("perusal").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    markup.register(spark)
     tracker = Tracker(spark, a.landing, a.data_dir, a.as_of or datetime.date.today(), a.config)
+    if a.requests:
+        urls = tracker.search_requests(a.category.split(","), a.time.split(",")).orderBy("category", "day").collect()
+        print("\n".join(r.url for r in urls))
+        return len(urls)
     if a.source == "arxiv":
-        n = sinks.write_reports(tracker.daily_report(a.category.split(","), a.time.split(","), a.output_format))
+        n = sinks.write_reports(tracker.daily_report(a.category.split(","), a.time.split(","), a.output_format, a.cap))
     elif not a.journal:
         raise RuntimeError("--journal required")
     elif a.volume and a.issue:

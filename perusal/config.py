@@ -11,6 +11,7 @@ SEARCH = {
     "classification-include_cross_list": "include", "date-filter_by": "date_range", "date-year": "", "date-from_date": "2025-02-01", "date-to_date": "2025-02-02",
     "date-date_type": "submitted_date_first", "abstracts": "show", "size": "200", "order": "submitted_date",
 }
+#: Categories and journals that are built in; fixed values.
 CATEGORIES = {c: SEARCH | {"classification-physics_archives": c} for c in ("quant-ph", "hep-ex", "hep-lat", "hep-ph", "hep-th")}
 CATEGORIES["chem-ph"] = SEARCH | {"classification-physics_archives": "physics", "terms-1-operator": "AND", "terms-1-term": "physics.chem-ph", "terms-1-field": "all"}
 JOURNALS = {
@@ -42,6 +43,10 @@ def pick(table: dict[str, dict], key: str, what: str) -> dict[str, str]:
     return table[key]
 
 
+#: Where a day's search is asked for; fixed value.
+SEARCH_URL = "https://arxiv.org/search/advanced?"
+
+
 def search_parameters(params: dict[str, str], start: str, stop: str) -> dict[str, str]:
     """Parameters of one day's search, [start, stop)."""
     return params | {"date-from_date": start, "date-to_date": stop}

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that markup of the sources carries, `&amp;` last so that a decoded `&` decodes nothing more; fixed values.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 #: Blanks as the sources' own tools see them, non-breaking ones included.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
@@ -24,24 +22,11 @@ def squeeze(x: Column | str) -> Column:
     return strip(F.regexp_replace(_c(x), BLANKS, " "))
 
 
-def decode(x: Column | str) -> Column:
-    out = _c(x)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
 def found(x: Column | str, pattern: str, group: int = 1) -> Column:
     """First match of a group, null where there is none."""
     return F.nullif(F.regexp_extract(_c(x), pattern, group), F.lit(""))
 
 
-def clean_markup(x: Column | str) -> Column:
-    """Plain text of a registry abstract. Entities are decoded after tags go, so an encoded tag stays as text."""
-    out = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"</?jats:p[^>]*>", " ")
-    return squeeze(decode(F.regexp_replace(out, r"<[^>]+>", " ")))
-
-
 def bare_id(arxiv_id: Column | str) -> Column:
     return strip(F.replace(_c(arxiv_id), F.lit("arXiv:"), F.lit("")))
 
@@ -72,10 +57,15 @@ def non_article(doi: Column | str, title: Column | str) -> Column:
     return F.coalesce(_c(doi), F.lit("")).rlike(r"ctv\d{3}i\d{3}") | F.coalesce(_c(title), F.lit("")).rlike(r"(?iU)^\s*erratum\b")
 
 
-def challenged(html: Column | str, head: int | None = 5000) -> Column:
-    """Whether a landed page is a bot challenge; ``head`` characters are looked at."""
-    x = F.coalesce(_c(html), F.lit(""))
-    return (F.left(x, F.lit(head)) if head else x).rlike("Just a moment|cf-chl|Cloudflare")
+def challenged(html: Column | str, head: int = 5000) -> Column:
+    """Whether the head of a landed page is that of a bot challenge."""
+    return F.left(F.coalesce(_c(html), F.lit("")), F.lit(head)).rlike("Just a moment|cf-chl|Cloudflare")
+
+
+def waiting(html: Column | str) -> Column:
+    """Whether a landed page is the waiting page that the ACS site serves; a page that only names the
+    service behind it is none."""
+    return F.coalesce(_c(html), F.lit("")).contains("Just a moment")
 
 
 def absolute(href: Column | str, base: str) -> Column:

@@ -26,7 +26,7 @@ def first_wins(df: DataFrame, keys: list[str], value: str, pos: str = "pos") ->
 
 def preprints(raw: DataFrame) -> DataFrame:
     """(category, day, pos, record...) of landed search results, one row per preprint and day."""
-    rows = raw.filter(~text.challenged("html")).select("category", "day", F.posexplode(markup.call("parse_arxiv_html", "html")).alias("pos", "r"))
+    rows = raw.select("category", "day", F.posexplode(markup.call("parse_arxiv_html", "html")).alias("pos", "r"))
     return collapse(rows.select("category", "day", "pos", "r.*"), ["category", "day", "arxiv_id"])
 
 
@@ -68,7 +68,7 @@ def article(item: str = "item") -> dict[str, Column]:
     c, some = F.col, lambda x: F.coalesce(x, F.lit(""))
     parts = F.coalesce(c(f"{item}.published-print.date-parts"), c(f"{item}.published-online.date-parts"))
     return {
-        "doi": some(c(f"{item}.DOI")), "title": some(F.get(c(f"{item}.title"), F.lit(0))), "authors": names(c(f"{item}.author")), "abstract": text.clean_markup(c(f"{item}.abstract")),
+        "doi": some(c(f"{item}.DOI")), "title": some(F.get(c(f"{item}.title"), F.lit(0))), "authors": names(c(f"{item}.author")), "abstract": markup.call("clean_jats", c(f"{item}.abstract")),
         "volume": some(c(f"{item}.volume")), "issue": some(c(f"{item}.issue")), "pages": some(c(f"{item}.page")), "date": dates.from_parts(F.get(parts, F.lit(0))), "toc_image_url": F.lit(""),
     }
 
@@ -91,7 +91,7 @@ def registry_articles(raw: DataFrame) -> DataFrame:
 def acs_articles(raw: DataFrame, drop_errata: bool = False) -> DataFrame:
     """Articles of landed ACS contents pages: (acs_code, volume, issue, pos, record...). The record's own
     volume and issue are read from the item (item_volume, item_issue)."""
-    rows = raw.filter(~text.challenged("html", None)).select("acs_code", F.col("volume").alias("v"), F.col("issue").alias("i"), F.posexplode(markup.call("parse_acs_toc", "html")).alias("pos", "r")).select("acs_code", "v", "i", "pos", "r.*")
+    rows = raw.filter(~text.waiting("html")).select("acs_code", F.col("volume").alias("v"), F.col("issue").alias("i"), F.posexplode(markup.call("parse_acs_toc", "html")).alias("pos", "r")).select("acs_code", "v", "i", "pos", "r.*")
     rows = rows.filter(~F.col("shown").rlike("Issue Publication Information|Editorial Masthead|Issue Editorial"))
     doi, info = text.found("href", r"(10\.1021/\S+)"), F.col("info")
     # the volume is taken literally; without one, the first number is the issue

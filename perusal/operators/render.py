@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: What the reports' first line names as their maker; fixed value of the format.
+_MAKER = "arxiv_tools"
 _HEAD = "Links:\n\n- [ ] ["
 
 
@@ -56,7 +58,7 @@ def day_reports(rows: DataFrame, news: DataFrame | None = None) -> DataFrame:
     """(category, day, md) of preprint rows (category, day, pos, record..., collected)."""
     day = F.date_format("day", "yyyy-MM-dd")
     tag = F.concat(F.col("category"), F.lit("-"), day)
-    md = F.concat(F.lit("# "), day, F.lit(" preprint by arxiv_tools\n\n\n"), _sections(tag, "\n"))
+    md = F.concat(F.lit("# "), day, F.lit(f" preprint by {_MAKER}\n\n\n"), _sections(tag, "\n"))
     return grouped(rows, ["category", "day"], "arxiv_id", preprint_entry(), news).select("category", "day", md.alias("md"))
 
 
@@ -87,7 +89,3 @@ def day_path(root: str, layout: str = "category/year/month/day") -> Column:
 def issue_path(root: str) -> Column:
     return F.concat_ws("/", F.lit(root), F.col("slug"), F.col("volume").cast("string"), F.concat(F.col("issue").cast("string"), F.lit(".md")))
 
-
-def output_root(provider: Column, acs_code: Column) -> Column:
-    """Folder of a journal's reports: its provider, else acs if it has an ACS code, else journals."""
-    return F.coalesce(F.nullif(provider, F.lit("")), F.when(F.coalesce(acs_code, F.lit("")) != "", "acs"), F.lit("journals"))

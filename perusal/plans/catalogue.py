@@ -26,6 +26,17 @@ _AS_OF = datetime.date(2001, 12, 31)
 _WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. A run on one
+    machine that names none gets a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = f"file://{tempfile.mkdtemp(prefix='perusal-')}"
+    return found.rstrip("/")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -40,18 +51,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _decoded(x: str) -> str:
-    for entity, char in text.ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
-
-
-@query(f"""SELECT page_id, trim(regexp_replace({_decoded("regexp_replace(regexp_replace(coalesce(html, ''), '</?jats:p[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g')")}, '{_WS}', ' ', 'g')) AS plain FROM pages""")
-def clean_markup(spark, d):
-    """Plain text of markup."""
-    return _t(spark, d, "pages").select("page_id", text.clean_markup("html").alias("plain"))
-
-
 @query("""SELECT page_id, len(l)::INT AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""")
 def parse_page_links(spark, d):
     """Links of each page, through the element tree."""
@@ -315,19 +314,12 @@ def report_ids(spark, d):
     return got.select("category", F.col("day").cast("string").alias("day"), F.array_join("ids", " ").alias("ids"), "ok")
 
 
-@query()
-def roundtrip_entries(spark, d):
-    """Entries read back from reports with an update section."""
-    rows = _feed(spark, d)
-    return match.report_entries(render.day_reports(rows, _news(spark, d, rows)))
-
-
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, d):
     """Each key of a file stream once, through the streaming engine, to a file sink."""
     events = _t(spark, d, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    root = f"{base.rstrip('/')}/first-seen-{uuid.uuid4().hex}"
+    root = f"{shared(spark)}/first-seen-{uuid.uuid4().hex}"
     rows = feed.first_seen(feed.stream(spark, f"{d}/events.parquet", events.schema).select("user_id", "event_type"), ["user_id", "event_type"])
     feed.run_available(rows, f"{root}/checkpoint", lambda df, n: df.write.parquet(f"{root}/out/batch={n}"))
+    events.select("user_id", "event_type").limit(0).write.parquet(f"{root}/out/batch=none")  # an empty stream has no batch
     return spark.read.schema("user_id long, event_type string").parquet(f"{root}/out/batch=*")

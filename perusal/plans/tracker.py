@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import dates
+from ..functions import dates, text
 from ..operators import discover, match, records, render, resolve
 from ..sources import landed, sinks
 from . import incremental
 
+logger = logging.getLogger(__name__)
 RECORD = ["doi", "title", "authors", "abstract", "pages", "date", "toc_image_url"]
 
 
@@ -43,12 +46,22 @@ class Tracker:
         calendar = self.spark.createDataFrame(wanted, "category string, y int, m int").select("category", F.explode(dates.month_days(F.col("y"), F.col("m"))).alias("day"))
         rows = records.preprints(self.landed("raw_arxiv").join(F.broadcast(calendar), ["category", "day"]))  # a month has 31 days
         if cap:
+            for r in rows.groupBy("category", "day").count().filter(F.col("count") > cap).collect():
+                logger.warning("%s %s: %d preprints, the first %d are kept", r.category, r.day, r["count"], cap)
             rows = records.capped(rows, ["category", "day"], ["pos", "arxiv_id"], cap)
         rows = match.preprints_collected(rows, self.library())
-        old = match.report_ids(landed.day_keys(landed.reports(self.spark, f"{self.out}/arxiv"))).filter("ok")
+        # in every layout a month's reports are below its category, year and month
+        months_of = [f"{self.out}/arxiv/{c}/{y:04d}/{m:02d}" for c, y, m in wanted]
+        old = match.report_ids(landed.day_keys(landed.reports(self.spark, *months_of))).filter("ok")
         news = match.new_since(rows, ["category", "day"], "arxiv_id", old)
         return render.day_reports(rows, news).select(render.day_path(self.out, layout).alias("path"), "md")
 
+    def search_requests(self, categories: list[str], months: list[str]) -> DataFrame:
+        """(category, day, url): the search of every day of the months, for whoever lands the pages."""
+        wanted = [(c, *dates.parse_month(m, self.as_of)) for m in dict.fromkeys(months) for c in dict.fromkeys(categories)]
+        days = self.spark.createDataFrame(wanted, "category string, y int, m int").select("category", F.explode(dates.month_days(F.col("y"), F.col("m"))).alias("day"))
+        return searches(days, {c: config.pick(self.categories, c, "Category") for c in dict.fromkeys(categories)})
+
     # journals
 
     def _root(self, cfg: dict[str, str]) -> str:
@@ -79,7 +92,7 @@ class Tracker:
     def _reports(self, journal: str, issues: DataFrame) -> DataFrame:
         cfg = config.pick(self.journals, journal, "Journal")
         rows = match.articles_collected(self.articles(journal, issues), self.library())
-        old = match.report_ids(landed.issue_keys(landed.reports(self.spark, self._root(cfg))), "doi").filter("ok")
+        old = match.report_ids(landed.issue_keys(landed.reports(self.spark, f"{self._root(cfg)}/{cfg['slug']}")), "doi").filter("ok")
         news = match.new_since(rows, incremental.KEY, "doi", old)
         return render.issue_reports(rows, news).withColumn("path", render.issue_path(self._root(cfg)))
 
@@ -96,7 +109,7 @@ class Tracker:
         cfg = config.pick(self.journals, journal, "Journal")
         slug = F.lit(cfg["slug"]).alias("slug")
         processed = landed.state(self.spark, self.state_path()).filter(F.col("slug") == cfg["slug"])
-        found = match.report_ids(landed.issue_keys(landed.reports(self.spark, self._root(cfg))), "doi").filter("ok")
+        found = match.report_ids(landed.issue_keys(landed.reports(self.spark, f"{self._root(cfg)}/{cfg['slug']}")), "doi").filter("ok")
         valid = found.select("slug", F.col("volume").try_cast("int").alias("volume"), F.col("issue").try_cast("int").alias("issue"))
         years = discover.registry_issues(records.registry_items(self.landed("raw_crossref")), cfg["issn"], self.as_of, 1)
         if cfg.get("acs_code"):
@@ -115,13 +128,41 @@ class Tracker:
         issues = self.plan(journal, backfill, from_year).select(F.col("volume").cast("string").alias("volume"), F.col("issue").cast("string").alias("issue"), "year")
         return self._reports(journal, issues)
 
+    #: Issues between two writes of the state.
+    BATCH = 20
+
     def run_auto(self, journal: str, backfill: bool = False, from_year: int = 0) -> int:
-        """Write what ``auto`` gives and add it to the state; returns the number of reports."""
-        got = self.auto(journal, backfill, from_year).cache()
-        n = sinks.write_reports(got)
-        done = got.select("slug", F.col("volume").cast("int").alias("volume"), F.col("issue").cast("int").alias("issue"))
-        state = landed.state(self.spark, self.state_path())
-        if n:
-            sinks.write_state(incremental.next_state(state, done), self.state_path())
-        got.unpersist()
+        """Write the reports of all issues that ``plan`` lists, in its order, and add them to the state every
+        BATCH issues, so that a run that was stopped goes on where it was; returns their number."""
+        issues = [(str(r.volume), str(r.issue), r.year) for r in self.plan(journal, backfill, from_year).collect()]  # numbers of one journal's issues
+        n = 0
+        for at in range(0, len(issues), self.BATCH):
+            some = self.spark.createDataFrame(issues[at : at + self.BATCH], "volume string, issue string, year int")
+            n += self._write_batch(self._reports(journal, some))
+        logger.info("%s: %d issues planned, %d reports", journal, len(issues), n)
         return n
+
+    def _write_batch(self, reports: DataFrame) -> int:
+        """Write rendered reports and their issues' state. What is written is fixed first, in a table:
+        computed again it would see its own reports as earlier ones."""
+        path = f"{self.out}/.batch-{uuid.uuid4().hex}"
+        reports.write.parquet(path)
+        try:
+            got = self.spark.read.schema(reports.schema).parquet(path)
+            n = sinks.write_reports(got)
+            done = got.select("slug", F.col("volume").cast("int").alias("volume"), F.col("issue").cast("int").alias("issue"))
+            if n:
+                sinks.write_state(incremental.next_state(landed.state(self.spark, self.state_path()), done), self.state_path())
+        finally:
+            sinks.delete(self.spark, path)
+        return n
+
+
+def searches(days: DataFrame, categories: dict[str, dict[str, str]]) -> DataFrame:
+    """(category, day, url) of rows (category, day): each day's search, up to the day after."""
+    url = None
+    start, stop = F.date_format("day", "yyyy-MM-dd"), F.date_format(F.date_add("day", 1), "yyyy-MM-dd")
+    for name, params in categories.items():
+        asked = F.concat(F.lit(config.SEARCH_URL), text.query_string(config.search_parameters(params, start, stop)))
+        url = F.when(F.col("category") == name, asked) if url is None else url.when(F.col("category") == name, asked)
+    return days.select("category", "day", url.alias("url"))

@@ -9,7 +9,6 @@ RAW_AIP_ABSTRACT = "article_id string, attempt int, status int, body string"
 RAW_LIBRARY = "key string, parent string, data struct<DOI: string, url: string>"
 REPORTS = "path string, md string"
 PROCESSED = "slug string, volume int, issue int"
-DISCOVERED = "slug string, year int, volume int, issue int, url string"
 
 #: One registry page; cursor pages of a year are landed in page_no order.
 REGISTRY_PAGE = (
@@ -17,5 +16,3 @@ REGISTRY_PAGE = (
     "page: string, author: array<struct<given: string, family: string>>, abstract: string, "
     "`published-print`: struct<`date-parts`: array<array<int>>>, `published-online`: struct<`date-parts`: array<array<int>>>>>>"
 )
-PREPRINT = "arxiv_id string, title string, authors array<string>, abstract string, external_doi string, external_doi_url string, journal_ref string, comments string, subjects array<string>"
-ARTICLE = "doi string, title string, authors array<string>, abstract string, journal_name string, volume string, issue string, pages string, date string, toc_image_url string"

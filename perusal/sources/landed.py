@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .sinks import versions
 
 TABLES: dict[str, str] = {
     "raw_arxiv": schemas.RAW_PREPRINT, "raw_crossref": schemas.RAW_REGISTRY, "raw_acs_toc": schemas.RAW_ACS_TOC, "raw_acs_loi": schemas.RAW_ACS_LIST,
@@ -28,10 +29,14 @@ def _or_empty(spark: SparkSession, load, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def reports(spark: SparkSession, root: str) -> DataFrame:
-    """(path, md) of all Markdown files below ``root``."""
-    load = lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
-    return _or_empty(spark, load, schemas.REPORTS)
+def reports(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, md) of all Markdown files below the roots; those that aren't there hold none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = [jvm.org.apache.hadoop.fs.Path(r) for r in roots]
+    there = [r for r, p in zip(roots, at) if p.getFileSystem(conf).exists(p)]
+    if not there:
+        return spark.createDataFrame([], schemas.REPORTS)
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
 
 
 def day_keys(reports: DataFrame) -> DataFrame:
@@ -49,8 +54,11 @@ def issue_keys(reports: DataFrame) -> DataFrame:
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
-    """Processed issues; none before the first run."""
-    return _or_empty(spark, lambda: spark.read.schema(schemas.PROCESSED).parquet(path), schemas.PROCESSED)
+    """Processed issues, of the newest whole version; none before the first run."""
+    had = versions(spark, path)
+    if not had:
+        return spark.createDataFrame([], schemas.PROCESSED)
+    return spark.read.schema(schemas.PROCESSED).parquet(f"{path}/version-{had[-1]}")
 
 
 def state_json(spark: SparkSession, path: str) -> DataFrame:

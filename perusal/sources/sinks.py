@@ -32,17 +32,33 @@ def write_reports(df: DataFrame) -> int:
     return n
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a state table, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("version-")]
+    return sorted(int(p.getName().removeprefix("version-")) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def write_state(state: DataFrame, path: str) -> None:
-    """Overwrite the state table: written beside it first, as it may be read from itself."""
-    spark: SparkSession = state.sparkSession
-    fresh = f"{path}-{uuid.uuid4().hex}"
-    state.orderBy("slug", "volume", "issue").coalesce(1).write.parquet(fresh)
+    """Add a version of the state table. Readers take the newest one that is whole, so a crash at any
+    point leaves the one before; versions before that are deleted."""
+    spark = state.sparkSession
+    had = versions(spark, path)
+    new = (had[-1] if had else 0) + 1
+    state.orderBy("slug", "volume", "issue").coalesce(1).write.mode("overwrite").parquet(f"{path}/version-{new}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"could not rename to {path}")
+    for old in had[:-1]:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/version-{old}")
+        gone.getFileSystem(conf).delete(gone, True)
 
 
 def state_as_json(state: DataFrame) -> DataFrame:

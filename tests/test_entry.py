@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from perusal.plans import catalogue
+from perusal.plans import catalogue, payloads  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from perusal import config
 from perusal.functions import dates, markup, text
 from perusal.operators import render
+from perusal.plans.tracker import Tracker
 
 
 def one(spark, **cols):
@@ -21,9 +22,10 @@ def test_identifiers(spark):
 
 def test_clean_markup_decodes_after_tags_go(spark):
     raw = "<jats:p>A &lt;b&gt;bold&lt;/b&gt;\n claim</jats:p><jats:p>x&nbsp;&amp;lt; y</jats:p>"
-    assert one(spark, t=text.clean_markup(F.lit(raw))).t == "A <b>bold</b> claim x &lt; y"
-    assert one(spark, t=text.clean_markup(F.lit(None).cast("string"))).t == ""
+    assert one(spark, t=markup.call("clean_jats", F.lit(raw))).t == "A <b>bold</b> claim x &lt; y"
+    assert one(spark, t=markup.call("clean_jats", F.lit(None).cast("string"))).t == ""
     assert markup.KINDS["clean_jats"][0](raw) == "A <b>bold</b> claim x &lt; y"
+    assert markup.KINDS["clean_jats"][0]("&alpha;-H&#8322;O &#x2013; 5&deg; caf&eacute; a &le; b &notanentity") == "α-H₂O – 5° café a ≤ b ¬anentity"
 
 
 def test_non_articles(spark):
@@ -71,7 +73,7 @@ def test_config(tmp_path):
 
 def test_output_roots_and_paths(spark):
     for provider, code, want in [("aip", "", "aip"), ("", "jctcce", "acs"), (None, None, "journals"), ("aip", "x", "aip")]:
-        assert one(spark, r=render.output_root(F.lit(provider).cast("string"), F.lit(code).cast("string"))).r == want
+        assert Tracker(spark, "/in", "/r", datetime.date(2026, 5, 9))._root({"provider": provider, "acs_code": code}) == f"/r/{want}"
     df = spark.sql("SELECT 'hep-ex' AS category, date'2026-04-03' AS day")
     for layout, want in {"category/year/month/day": "2026/04/03.md", "year/month/day/category": "2026/04/03/hep-ex/03.md", "year/month/category/day": "2026/04/hep-ex/03/03.md", "other": "2026/04/03.md"}.items():
         assert df.select(render.day_path("/r", layout)).first()[0] == f"/r/arxiv/hep-ex/{want}"

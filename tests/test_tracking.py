@@ -110,6 +110,18 @@ def test_acs_contents(spark):
     assert (a.item_volume, a.item_issue, a.pages, a.date) == ("22", "7", "3001–3010", "2026-03-26") and (b.item_volume, b.item_issue, b.date, b.authors) == ("", "9", "soon", [])
 
 
+def test_challenges_are_told_by_their_own_marks(spark):
+    acs = lambda html: records.acs_articles(spark.createDataFrame([("jctcce", "22", "7", html)], schemas.RAW_ACS_TOC)).count()
+    assert acs(ACS + "<p>Cloudflare cf-chl</p>") == 2 and acs(ACS + "x" * 6000 + "Just a moment") == 0
+    assert records.aip_articles(aip(spark, "<p>cf-chl</p>" + AIP)).count() == 0 and records.aip_articles(aip(spark, AIP + "x" * 6000 + "Cloudflare")).count() == 2
+    assert records.preprints(preprint_raw(spark, "<h1>Just a moment: Cloudflare</h1>", item("2604.00001"))).count() == 1
+
+
+def test_registry_abstracts_decode_every_entity(spark):
+    raw = registry(spark, ([work("10.1/a", abstract="<jats:p>&alpha;-H&#8322;O &#x2013; 5&deg; caf&eacute; a &le; b &amp;lt;</jats:p>")], ""))
+    assert records.registry_articles(raw).first().abstract == "α-H₂O – 5° café a ≤ b &lt;"
+
+
 def lists(spark, groups=True):
     landing = '<a href="/toc/jctcce/22/8">n</a><a href="/toc/jctcce/0/0">asap</a><a href="/toc/jctcce/22/9">m</a>' + ('<a href="/loi/jctcce/group/d2020.y2026">g</a><a href="/loi/jctcce/group/d2020.y2025">g</a><a href="/loi/jctcce/group/d2020.y2025">g</a>' if groups else "")
     rows = [("jctcce", "/loi/jctcce", True, landing), ("jctcce", "/loi/jctcce/group/d2020.y2025", False, '<a href="/toc/jctcce/21/1">a</a><a href="https://pubs.acs.org/toc/jctcce/21/2">b</a>'), ("jctcce", "/loi/jctcce/group/d2020.y2026", False, '<a href="/toc/jctcce/22/8?x">dup</a>')]
@@ -239,6 +251,40 @@ def test_end_to_end(spark, tmp_path):
     assert landed.state_json(spark, f"{tmp_path}/s.json").count() == 2
 
 
+def test_backfill_goes_on_after_a_failed_write(spark, tmp_path, monkeypatch):
+    src, out = f"{tmp_path}/landed", f"{tmp_path}/out"
+    land(spark, src, raw_crossref=registry(spark, ([work(f"10.1063/{i}", issue=str(i)) for i in range(1, 6)], "")))
+    t = Tracker(spark, src, out, TODAY)
+    t.BATCH, write, calls = 2, sinks.write_reports, []
+
+    def failing(df):
+        calls.append(1)
+        if len(calls) == 2:
+            write(df.limit(1))
+            raise OSError("full")
+        return write(df)
+
+    monkeypatch.setattr(sinks, "write_reports", failing)
+    done = lambda: sorted(r.issue for r in landed.state(spark, t.state_path()).collect())
+    with pytest.raises(OSError):
+        t.run_auto("jcp", backfill=True)
+    assert done() == [1, 2] and not list((tmp_path / "out").glob(".batch-*"))
+    (tmp_path / "out/state/version-7").mkdir()  # a version that a crash left unfinished doesn't count
+    assert done() == [1, 2]
+    assert t.run_auto("jcp", backfill=True) == 3 and done() == [1, 2, 3, 4, 5] and t.run_auto("jcp", backfill=True) == 0
+    assert sorted(p.name for p in (tmp_path / "out/aip/jcp/164").glob("*.md")) == [f"{i}.md" for i in range(1, 6)]
+
+
+def test_search_requests_and_cap(spark, tmp_path, caplog):
+    t = Tracker(spark, f"{tmp_path}/landed", f"{tmp_path}/out", TODAY)
+    rows = t.search_requests(["quant-ph", "chem-ph"], ["2026.04"]).orderBy("day", "category").collect()
+    assert len(rows) == 60 and rows[1].url.startswith("https://arxiv.org/search/advanced?advanced=&terms-0-term=") and "date-from_date=2026-04-01&date-to_date=2026-04-02" in rows[1].url and "classification-physics_archives=quant-ph" in rows[1].url
+    land(spark, f"{tmp_path}/landed", raw_arxiv=preprint_raw(spark, item("2604.00001"), item("2604.00002")))
+    with caplog.at_level("WARNING"):
+        md = t.daily_report(["quant-ph"], ["2026.04"], cap=1).first().md
+    assert "2604.00001" in md and "2604.00002" not in md and "2 preprints" in caplog.text
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     src, out = f"{tmp_path}/landed", f"{tmp_path}/out"
     land(spark, src, raw_arxiv=preprint_raw(spark, item("2604.00001")))
