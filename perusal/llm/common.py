@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='perusal-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -22,7 +22,8 @@ Exact for any rational threshold. The work is spread in four steps:
 A cluster of several blocks is joined block by block together with the cluster's hub; then
 only the sets outside its largest component meet the other blocks. Near copies connect in the
 first step, so a cluster that holds a third of all rows costs one task per block. Texts are
-read twice; only those of clusters are shuffled.
+read twice; only those of clusters are shuffled, as long as those are few enough to be told by a
+broadcast of their hashes (CHOSEN).
 """
 
 from __future__ import annotations
@@ -35,12 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, broadcast_if_small, table
 from .graph import components
 
 #: Shingles that the sets of one block hold at most (a longer set is a block of its own), and sets.
 BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 4096
 FANOUT, BITS = 16, 2048
+#: A key with more than one in HEAVY of all key rows is counted by aggregates; there are fewer than HEAVY of them.
+HEAVY, CELLS = 5000, 65_536
+#: Rows (of two numbers) that are broadcast at most to choose texts by.
+CHOSEN = 2_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -331,6 +336,9 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, rule: Rule, scrat
     """Links that connect whatever links connect, of members (fp, n, cluster, doc_id, tie)."""
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).alias("blocks"), F.min("fp").alias("hub"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    # only texts whose hash a member has are exchanged, unless the members are too many to tell them by
+    if members.count() <= CHOSEN:
+        docs = docs.join(F.broadcast(members.select("tie").distinct()), "tie", "left_semi")
     # by id and hash of the text: ids may be null or repeated, and the hash deals them out evenly
     texts = docs.withColumnsRenamed({"doc_id": "id", "tie": "hash"}).hint("merge")
     placed = texts.join(placed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tie"))).select("cluster", "blocks", "block", "hub", "fp", "n", "text")
@@ -355,18 +363,37 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, rule: Rule, scrat
     return scratch.keep(links.unionByName(_tasks(pairs, ["cluster", "part", "block"], n, rule)), "links")
 
 
-def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id) per row of ``df``.
+def shared_keys(keyed: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(key, fp, enough, have, sets) of the keys that several sets have; ``sets`` orders keys by how
+    many rows they have.
 
-    A document's set is its distinct n-word shingles (words lower-cased in A-Z); with fewer
-    words, all as one shingle. Two documents link when b * intersection >= a * union for the
-    threshold (a, b); component_id is the least doc_id that links reach. Null and wordless
-    texts have empty sets and link with nothing. Rows with a null doc_id take part in links,
-    but lend no id: without any other id in reach their component is null. Repeated ids give a
-    row each. An empty table gives an empty result; other columns are not read.
-    """
-    scratch, rule = Scratch(df.sparkSession), Rule(*threshold)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    Rows go to tasks by key. A key that near copies share may have a third of all rows: such keys
+    are found first, by counts of hash cells and then of the full cells' keys, and theirs are
+    counted by aggregates that combine before the exchange."""
+    rows = keyed.select("fp", F.inline(F.arrays_zip("keys", "enough", "have"))).withColumnRenamed("keys", "key")
+    cell = F.pmod("key", F.lit(CELLS))
+    counts = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("c")).collect()  # at most CELLS numbers
+    limit = sum(r.c for r in counts) // heavy
+    full = [r.cell for r in counts if r.c > limit and r.c > heavy]
+    many = []
+    if full:
+        found = rows.filter(cell.isin(full)).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > limit)
+        many = [(r.key, r.c) for r in found.collect()]  # fewer than ``heavy``
+    hot = F.broadcast(keyed.sparkSession.createDataFrame(many, "key long, sets long"))
+    rest = rows.join(hot, "key", "left_anti") if many else rows
+    # one sort serves both: equal rows of several tasks follow one another, and a key's rows are together
+    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
+    rest = rest.repartition("key").withColumn("before", before).filter("before IS NULL OR before <> fp").drop("before")
+    rest = rest.withColumn("sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
+    if not many:
+        return rest
+    # copies of one set in many tasks may make a key of one set look hot: it is tied to itself, which does nothing
+    return rest.unionByName(rows.join(hot, "key").groupBy("key", "fp", "enough", "have").agg(F.max("sets").alias("sets")))
+
+
+def groups_of(docs: DataFrame, n: int, rule: Rule, scratch: Scratch, block_sets: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text, tie) the rows (doc_id, tie, fp, n) and, per fp of a set that isn't empty,
+    (fp, group, component_id)."""
 
     @F.pandas_udf("fp long, n long, keys array<long>, enough array<int>, have array<int>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -375,15 +402,9 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     keyed = scratch.keep(docs.select("doc_id", "tie", sign("text").alias("s")).select("doc_id", "tie", "s.*"), "keyed")
     signed = scratch.keep(keyed.select("doc_id", "tie", "fp", "n"), "signed")
     filled = signed.filter("n > 0")
-    # keys that several sets share, with how many: one exchange of all keys
-    rows = keyed.select("fp", F.inline(F.arrays_zip("keys", "enough", "have"))).withColumnRenamed("keys", "key")
-    # one sort serves both: equal rows of several tasks follow one another, and a key's rows are together
-    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    rows = rows.repartition("key").withColumn("before", before).filter("before IS NULL OR before <> fp").drop("before")
-    shared = rows.withColumn("sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
     # of each set only as many of its rarest keys as are enough; keys of its own come first
     own = Window.partitionBy("fp", "enough", "have")
-    shared = shared.withColumns({"rank": F.row_number().over(own.orderBy("sets", "key")), "common": F.count("*").over(own)})
+    shared = shared_keys(keyed).withColumns({"rank": F.row_number().over(own.orderBy("sets", "key")), "common": F.count("*").over(own)})
     rare = scratch.keep(shared.filter("rank + have - common <= enough").select("key", "fp"), "rare")
     # what shares a rare key is tied to the least of those that do
     hubs = rare.groupBy("key").agg(F.min("fp").alias("a"))
@@ -397,24 +418,50 @@ def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     groups = components(links, scratch).withColumnsRenamed({"node": "fp", "root": "group"})
     named = sets.join(groups, "fp", "left").select("fp", "doc_id", F.coalesce("group", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.keep(named.join(least, "group").select("fp", "component_id"), "named")
+    return signed, scratch.keep(named.join(least, "group").select("fp", "group", "component_id"), "named")
+
+
+def jaccard_groups(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row (doc_id, n_shingles, component_id) per row of ``df``.
+
+    A document's set is its distinct n-word shingles (words lower-cased in A-Z); with fewer
+    words, all as one shingle. Two documents link when b * intersection >= a * union for the
+    threshold (a, b); component_id is the least doc_id that links reach. Null and wordless
+    texts have empty sets and link with nothing; long texts give whole sets. Rows with a null
+    doc_id take part in links, but lend no id: without any other id in reach their component is
+    null. Repeated ids give a row each. An empty table gives an empty result; other columns are
+    not read, whatever their names.
+    """
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    signed, named = groups_of(docs, n, Rule(*threshold), Scratch(df.sparkSession), block_sets, block_shingles)
     got = signed.select("doc_id", "fp", "n").join(named, "fp", "left")
     return got.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each group that links make, one row stays, the
-    one with the least doc_id. Rows without words stay all; so do rows without an id, as no id
-    tells which of a group's would go. Of rows with equal ids one stays if they are linked.
+    one with the least doc_id (null last; of those with that id the one with the least text hash).
+    Rows without words stay all. Ids may be null or repeated, and rows may be equal in both.
     """
-    groups = jaccard_groups(df, n, threshold, doc_id, text)
-    stay = groups.filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id")).distinct()
-    rows = df.filter(F.col(doc_id).isNotNull())
-    kept = rows.join(stay, F.col(doc_id) == F.col("__id"), "left_semi")
-    again = kept.groupBy(doc_id).agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
-    if again:  # repeated ids: keep one row of each id and text
-        kept = kept.dropDuplicates([doc_id, text])
-    return kept.unionByName(df.filter(F.col(doc_id).isNull()))
+    scratch = Scratch(df.sparkSession)
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    signed, named = groups_of(docs, n, Rule(*threshold), scratch, BLOCK_SETS, BLOCK_SHINGLES)
+    rows = signed.filter("n > 0").join(named.select("fp", "group"), "fp").groupBy("group", "doc_id", "tie").agg(F.count("*").alias("rows"))
+    rows = scratch.keep(rows, "grouped")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("s"))
+    rows = rows.join(first, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("tie") == F.col("s.tie")))
+    rows = scratch.keep(rows.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "rows", "stays"), "stays")
+    gone, again = rows.filter("NOT stays").select("__id", "__tie"), rows.filter("stays AND rows > 1").limit(1).count()
+    gone = broadcast_if_small(gone, gone.count(), CHOSEN)
+    kept = df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(gone["__id"]) & (F.xxhash64(text) == gone["__tie"]), "left_anti")
+    if not again:
+        return kept
+    # equal rows: one of each id and text that has words stays
+    several = rows.filter("stays AND rows > 1").select("__id", "__tie")
+    several = scratch.keep(several, "several")
+    few = broadcast_if_small(several, several.count(), CHOSEN)
+    on = F.col(f"`{doc_id}`").eqNullSafe(few["__id"]) & (F.xxhash64(text) == few["__tie"])
+    return kept.join(few, on, "left_anti").unionByName(kept.join(few, on, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

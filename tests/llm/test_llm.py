@@ -319,6 +319,26 @@ def test_jaccard_handles_anything(spark):
     assert sorted((r.doc_id or -1, (r.text or "")[:5]) for r in kept.collect()) == [(-1, "a b c"), (1, ""), (2, ""), (3, " \n\t "), (4, "other"), (4, "x y z"), (5, df.filter("doc_id = 5").first().text[:5]), (6, "!!! 1")]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(51)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " x"), (7, b), (7, b + " y"), (7, b), (3, c), (None, c), (9, c + " z"), (None, None), (None, ""), (7, "only one")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect()), key=repr)
+    alike = lambda t, u: (t or "").startswith(u)
+    assert len(got) == 6 and sum(alike(t, a) for _, t in got) == 1 and (3, c) in got and (None, None) in got and (None, "") in got and (7, "only one") in got
+    assert [i for i, t in got if alike(t, b)] == [7]
+
+
+def test_hot_keys_give_the_same_groups(spark, monkeypatch):
+    texts = near_texts(77) | {2000 + i: f"{'same words again and again here ' * 3}{i}" for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(jaccard_join.shared_keys, "__defaults__", (60,))
+    monkeypatch.setattr(jaccard_join, "CHOSEN", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()}
+    assert got == brute_groups(texts, 5, 80, 100)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
