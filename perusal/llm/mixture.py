@@ -2,14 +2,17 @@
 
 Documents of a source are packed, in an order fixed by hash, into a stream of words that is
 cut into blocks of fixed length. Output shards have a fixed number of slots, each for one
-block. For every shard the number of blocks per source is a multinomial draw; running sums
-over shards number a source's slots, and what some sources were drawn beyond their quota is
-handed to those drawn less, so that each source's words come to its target exactly. Slot k of
-a source is place k mod blocks of pass k div blocks; a keyed permutation per pass gives every
-block its place, and blocks join slots by (source, pass, place).
+block. The blocks of each source in each shard are multinomial draws given that every source's
+draws sum to its quota: a tree over the shards splits the quotas by hypergeometric draws, whose
+seeds are the places in the tree, so a task draws its own shards' counts, and the numbers of
+a source's slots before them, from the path to them alone. Slot k of a source is place k mod
+blocks of pass k div blocks; a keyed permutation per pass gives every block its place, and
+blocks join slots by (source, pass, place).
 
 No window or task holds a whole source: packing sums sizes within hash buckets of bounded
-size and then over buckets. Only numbers are shuffled until texts are cut.
+size, then over groups of buckets, then over those. Rows that are equal in all columns are
+packed as one with a count. Only numbers are shuffled until texts are cut. What comes to the
+driver and travels to tasks is a few numbers per source.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from .permute import permuted
 
 #: Weights of the sources in order of their names, repeating; share of all words that is taken, in per cent; most times of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
-BLOCK, SLOTS, BUCKET_ROWS, SEED = 128, 8192, 4096, 17
-#: Sources that are accepted: their shares travel to the tasks that draw.
-MOST_SOURCES = 1_000_000
+BLOCK, SLOTS, BUCKET_ROWS, SEED = 128, 8192, 1024, 17
+#: Buckets whose sums are added up by one task; copies of a row that one task numbers; blocks that one task places.
+RUN, COPIES, PLACED = 4096, 100_000, 200_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
@@ -53,17 +56,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = S
     return s.select("source", "source_size", "sidx", F.coalesce(F.least(F.col("rate") * F.col("w"), cap), cap).alias("target"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, size, tie, rows) as a row per row, told apart by ``dup`` from 1. A count
+    beyond COPIES is dealt to several tasks."""
+    many = docs.filter(F.col("rows") > COPIES).limit(1).count()
+    docs = docs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {COPIES}"))))
+    if many:
+        docs = docs.repartition("doc_id", "tie", "part")
+    docs = docs.withColumn("dup", F.explode(F.sequence(F.expr(f"part * {COPIES} + 1"), F.least(F.col("rows"), F.expr(f"(part + 1) * {COPIES}")))))
+    return docs.drop("rows", "part")
+
+
 def packed(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs (doc_id, source, size, tie) with ``start``, the words of the source's stream before it,
-    and ``dup``, which tells rows apart that are equal in all four."""
+    """docs (doc_id, source, size, tie, dup) with ``start``, the words of the source's stream before a row."""
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "size"), F.lit(buckets)))
-    own = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie", "size")
-    docs = docs.withColumns({"inner": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "dup": F.row_number().over(Window.partitionBy("source", "bucket", "doc_id", "tie", "size").orderBy("size"))})
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("words").over(run) - F.col("words")).alias("base"))
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "size", "dup"), F.lit(buckets)))
+    own = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie", "size", "dup")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    docs = docs.withColumn("inner", F.sum("size").over(upto(own)) - F.col("size"))
+    # words of a source before a run of buckets, and before a bucket within its run
+    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("run", F.expr(f"bucket div {RUN}"))
+    runs = sums.groupBy("source", "run").agg(F.sum("words").alias("all"))
+    runs = runs.select(F.col("source").alias("rs"), F.col("run").alias("rr"), (F.sum("all").over(upto(Window.partitionBy("source").orderBy("run"))) - F.col("all")).alias("far"))
+    sums = sums.withColumn("near", F.sum("words").over(upto(Window.partitionBy("source", "run").orderBy("bucket"))) - F.col("words"))
+    sums = sums.join(runs, sums["source"].eqNullSafe(runs["rs"]) & (sums["run"] == runs["rr"]))
+    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("near") + F.col("far")).alias("base"))
     got = docs.join(sums, docs["source"].eqNullSafe(sums["s"]) & (docs["bucket"] == sums["b"]))
     return got.select("doc_id", "source", "size", "tie", "dup", (F.col("base") + F.col("inner")).alias("start"))
 
@@ -91,62 +109,95 @@ def _taken(block: int):
     return F.when(F.col("pass") < F.col("passes"), full).otherwise(F.greatest(F.lit(0), F.least(length, F.col("rest") - before))).cast("long")
 
 
+def split(counts: np.ndarray, some: int, seed: list[int]) -> np.ndarray:
+    """How many of ``counts`` (per source) are among ``some`` drawn of all of them without replacement.
+
+    Beyond what the exact draw can count to, each source's share is drawn from the normal law of
+    the same mean and spread, and what the sum is off by is dealt out where there is room."""
+    total = int(counts.sum())
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed)))
+    if total < 1_000_000_000:
+        return rng.multivariate_hypergeometric(counts, some, method="marginals")
+    share = some / total
+    spread = np.sqrt(counts * share * (1 - share) * (1 - counts / total))
+    got = np.clip(np.rint(counts * share + spread * rng.standard_normal(len(counts))), 0, counts).astype(np.int64)
+    off = some - int(got.sum())
+    room = counts - got if off > 0 else got
+    before = np.cumsum(room) - room
+    return got + np.sign(off) * np.clip(abs(off) - before, 0, room)
+
+
+def draws(quota: np.ndarray, per_shard: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, slots of each source in it) of shards first to last - 1.
+    Each step halves a range of shards and splits its counts between the halves."""
+    total = int(quota.sum())
+    todo = [(0, -(-total // per_shard), np.zeros(len(quota), np.int64), quota.astype(np.int64))]
+    while todo:
+        lo, hi, before, counts = todo.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield lo, before, counts
+            continue
+        mid = (lo + hi) // 2
+        left = split(counts, (mid - lo) * per_shard, [seed, lo, hi])
+        todo += [(mid, hi, before + left, counts - left), (lo, mid, before, left)]
+
+
 def slots(t: DataFrame, scratch: Scratch, block: int, per_shard: int, seed: int) -> DataFrame:
     """(shard, sidx, k, pass, place, taken): every slot of the mix; t has ``quotas``."""
     spark = t.sparkSession
-    quota = t.select("sidx", "quota").orderBy("sidx").limit(MOST_SOURCES + 1).collect()  # one number a source
-    if len(quota) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    number, share = np.array([r.sidx for r in quota], np.int64), np.array([r.quota for r in quota], np.float64)
-    total = int(share.sum())
-    shards = -(-total // per_shard)
+    quota = t.select("sidx", "quota").orderBy("sidx").collect()  # one number a source
+    number, share = np.array([r.sidx for r in quota], np.int64), np.array([r.quota for r in quota], np.int64)
+    shards = -(-int(share.sum()) // per_shard)
+    known = spark.sparkContext.broadcast((number, share))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, quotas_ = known.value
         for b in batches:
-            for j in b["id"].tolist():
-                n = min(per_shard, total - j * per_shard)
-                c = np.random.Generator(np.random.Philox(key=[seed, j])).multinomial(n, share / share.sum())
+            ids = b["id"].to_numpy()
+            for shard, before, c in draws(quotas_, per_shard, int(ids[0]), int(ids[-1]) + 1, seed) if len(ids) else ():
                 hit = c > 0
-                yield pd.DataFrame({"shard": j, "sidx": number[hit], "c": c[hit]})
-
-    drawn = scratch.keep(spark.range(shards).mapInPandas(draw, "shard long, sidx long, c long"), "drawn")
-    run = Window.partitionBy("sidx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.withColumn("from", F.sum("c").over(run) - F.col("c"))
-    many = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")))
-    all_ = drawn.select("shard", "sidx", "from", many(F.col("c")).alias("i")).select("shard", "sidx", (F.col("from") + F.col("i")).alias("k"))
-    all_ = all_.join(t.drop("source", "target"), "sidx")
-    good = all_.filter("k < quota")
-    # draws beyond a quota go, in order, to the sources that were drawn too little (about the root of all slots)
-    number_rows = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.orderBy(*by)))
-    over = number_rows(all_.filter("k >= quota").select("shard", "sidx", "k"), "shard", "sidx", "k").select("shard", "nth")
-    got = drawn.groupBy("sidx").agg(F.sum("c").alias("got"))
-    lack = t.drop("source", "target").join(got, "sidx", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    lack = lack.withColumn("i", many(F.greatest(F.col("quota") - F.col("got"), F.lit(0)))).withColumn("k", F.col("got") + F.col("i")).drop("got", "i")
-    mended = over.join(number_rows(lack, "sidx", "k"), "nth").drop("nth")
-    out = good.unionByName(mended.select(good.columns))
+                yield pd.DataFrame({"shard": shard, "sidx": names[hit], "from": before[hit], "c": c[hit]})
+
+    # shards of a batch of spark.range follow one another
+    drawn = scratch.keep(spark.range(shards).mapInPandas(draw, "shard long, sidx long, from long, c long"), "drawn")
+    k = F.explode(F.sequence(F.col("from"), F.col("from") + F.col("c") - 1))
+    out = drawn.select("shard", "sidx", k.alias("k")).join(t.drop("source", "target"), "sidx")
     out = out.withColumns({"pass": F.expr("k div blocks"), "place": F.expr("k % blocks")})
     return out.select("shard", "sidx", "k", "pass", "place", _taken(block).alias("taken"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def row_hash(df: DataFrame):
+    """Hash of all columns of a row: rows with equal hashes (and ids, sources, sizes) stand for one another."""
+    hashed = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{f.name}`")
+    return F.xxhash64(*[hashed(f) for f in df.schema.fields])
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Plan a mix of all rows of ``df``.
 
     Returns (documents, pieces). documents: doc_id, source, size, tie, dup, source_size,
     target, a row per row of df. pieces: doc_id, source, tie, dup, size, shard, slot, pass,
     from, to - the words [from, to) of a document that a slot takes. Null text has size 0; null
-    source is a source of its own, the last; documents without words have no pieces; equal
-    rows are told apart by ``dup``; an empty table, or one without words, has no pieces.
+    source is a source of its own, the last; documents without words have no pieces; rows equal
+    in all columns are told apart by ``dup``; ties in the order of packing cannot be, as hashes
+    and numbers of copies order all rows; long texts are split like any; an empty table, or
+    one without words, has no pieces; other columns are only hashed, whatever their names.
     """
     scratch = Scratch(df.sparkSession)
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
     size = F.greatest(size, F.lit(0).cast("long"))
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"))
-    docs = scratch.keep(docs, "sizes")
-    t = scratch.keep(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), row_hash(df).alias("tie"))
+    rows = scratch.keep(rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("rows")), "sizes")
+    t = scratch.keep(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).cast("long").alias("source_size"))), "targets")
+    docs = numbered(rows)
     q = scratch.keep(quotas(t, block, seed), "quotas")
-    place = scratch.keep(packed(docs), "packed")
+    place = scratch.keep(packed(docs, bucket_rows), "packed")
     got = place.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     span = got.filter("size > 0").join(q.select("sidx", "blocks", "passes"), "sidx")
+    blocks = q.agg(F.sum(F.col("blocks") * (F.least(F.col("passes"), F.lit(MOST - 1)) + 1))).first()[0] or 0
+    span = span.repartition(max(1, -(-blocks // PLACED), span.sparkSession.sparkContext.defaultParallelism), "doc_id", "tie", "dup")
     span = span.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     span = span.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("passes"), F.lit(MOST - 1)))))
     span = span.withColumn("place", permuted(F.col("block"), F.col("blocks"), pass_key(F.col("sidx"), F.col("pass"), seed)))
@@ -178,14 +229,15 @@ def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
 def mixed_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", block: int = BLOCK, per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as rows with the columns of ``df``: for each document and pass, the words that the
     mix takes (whole texts as they are, else the taken words joined by single spaces)."""
-    _, pieces = mix(df, doc_id, text, source, block, per_shard, seed)
+    documents, pieces = mix(df, doc_id, text, source, block, per_shard, seed)
     spans = pieces.groupBy(*_ROW, "pass").agg(F.sum(F.col("to") - F.col("from")).alias("words"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
     spans = spans.select(*[F.col(c).alias(f"_{c}") for c in _ROW], "words", "spans")
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    rows = df.withColumns({"__tie": F.xxhash64(text), "__size": F.size(words).cast("long")})
-    rows = rows.withColumn("__dup", F.row_number().over(Window.partitionBy(doc_id, source, "__tie", "__size").orderBy("__size")))
-    rows = rows.withColumns({"__doc_id": F.col(doc_id), "__source": F.col(source)})
-    on = (F.col("__doc_id").eqNullSafe(F.col("_doc_id"))) & F.col("__source").eqNullSafe(F.col("_source")) & (F.col("__tie") == F.col("_tie")) & (F.col("__size") == F.col("_size")) & (F.col("__dup") == F.col("_dup"))
+    rows = df.withColumns({"__tie": row_hash(df), "__size": F.size(words).cast("long"), "__doc_id": F.col(doc_id), "__source": F.col(source)})
+    if documents.filter("dup > 1").limit(1).count():
+        # equal rows: one of them stands for all, and meets the pieces of each
+        rows = rows.dropDuplicates(["__doc_id", "__source", "__tie", "__size"])
+    on = (F.col("__doc_id").eqNullSafe(F.col("_doc_id"))) & F.col("__source").eqNullSafe(F.col("_source")) & (F.col("__tie") == F.col("_tie")) & (F.col("__size") == F.col("_size"))
     got = rows.join(spans, on)
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
     got = got.withColumn(text, F.when(F.col("words") == F.col("__size"), F.col(text)).otherwise(cut))

@@ -401,6 +401,34 @@ def docs_of(spark, docs, pieces, source):
     return mixture.taken_words(docs.filter(F.col("source").eqNullSafe(source)), pieces).collect()
 
 
+def test_draws_are_multinomial_given_their_sums():
+    quota = np.array([500, 0, 1301, 7])
+    whole = list(mixture.draws(quota, 50, 0, 37, 3))
+    assert [x[0] for x in whole] == list(range(37)) and sum(x[2] for x in whole).tolist() == quota.tolist()
+    assert all(c.sum() == min(50, 1808 - 50 * j) for j, _, c in whole) and all((b == sum(x[2] for x in whole[:j])).all() for j, b, _ in whole[1:])
+    some = list(mixture.draws(quota, 50, 11, 19, 3))
+    assert [(j, b.tolist(), c.tolist()) for j, b, c in some] == [(j, b.tolist(), c.tolist()) for j, b, c in whole[11:19]]
+    # a shard's counts spread as a draw's do
+    first = np.array([next(iter(mixture.draws(quota, 50, 0, 1, s)))[2] for s in range(400)])
+    assert abs(first.mean(0) - 50 * quota / 1808).max() < 1 and 2 < first[:, 0].std() < 5
+    big = np.array([10**12, 3 * 10**11, 5, 0])
+    for part in (1, 10**6, 10**12):
+        got = mixture.split(big, part, [1, 2, 3])
+        assert got.sum() == part and (got >= 0).all() and (got <= big).all() and abs(got[0] / part - 10 / 13) < max(0.01, 1 / part)
+
+
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "COPIES", 7)
+    rows = [(1, "one two three four five", "en", "a", 23)] * 60 + [(2, "six seven", "en", "a", 9), (3, "x " * 400, "en", "b", 800)]
+    df = spark.createDataFrame(rows, DOC).repartition(5)
+    got = mixture.taken_words(*mixture.mix(df, block=4, per_shard=8, bucket_rows=9)).collect()
+    assert len(got) == 62 and sum(r.doc_id == 1 for r in got) == 60 and all(r.taken <= 2 * r.size for r in got)
+    for ids in ((1, 2), (3,)):
+        assert abs(sum(r.taken for r in got if r.doc_id in ids) - next(r.target for r in got if r.doc_id in ids)) <= 1
+    mixed = mixture.mixed_texts(df, block=4, per_shard=8).collect()
+    assert sum(len(r.text.split()) for r in mixed if r.doc_id != 3) == sum(r.taken for r in got if r.doc_id != 3)
+
+
 def test_mix_handles_anything(spark):
     df = odd_docs(spark)
     got = mixture.taken_words(*mixture.mix(df)).collect()
