@@ -14,13 +14,11 @@ from perusal.llm import decontaminate, jaccard_join, mixture, quality_rules, tok
 from perusal.llm.common import Scratch, table
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _columns(quality_rules.quality_rules(docs).filter("kept"), docs)
+    """Documents that the quality rules keep. Rows travel as they are, so that no column of theirs
+    meets one that the rules add."""
+    rows = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return quality_rules.quality_rules(rows).filter("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    Rows without text, or with less than the base rule asks for, go in the first stage; rows with null
+    or repeated ids are kept apart by their content; equal rows are near copies, of which one stays;
+    long texts are read whole; columns beyond those of documents, whatever their names, stay until
+    the last stage; an empty table gives an empty index.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     last = None
     for name, stage in STAGES[:-1]:
