@@ -764,3 +764,76 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in one.collect()}
     assert ids == {i for i, (n, c) in groups.items() if c == i} and one.columns == docs.columns
     assert p.run(spark, DATA).count() > 0
+
+
+def small_corpus(rng):
+    """Documents with junk, near copies, benchmark passages, nulls, repeats and an extra column."""
+    rows, item = [], " ".join(words(rng, 30))
+    for i in range(60):
+        w = words(rng, rng.randrange(55, 130), 4000)
+        if i % 10 == 3:
+            w = w[:20] + ["#|#|#"] * 30 + w[20:]
+        if i % 10 == 4:
+            w = w[:9] + item.split() + w[9:]
+        rows.append((i, "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12)), "en", rng.choice(["a", "b", None])))
+    for i in range(20):
+        w = rows[i][1].split(" ")
+        rows.append((100 + i, " ".join(w[:-1] + ["changed"]), "en", "a"))
+    rows += [rows[5], rows[5], (None, rows[6][1], "en", "b"), (None, " ".join(words(rng, 80, 4000)), None, None), (200, None, "en", "a"), (201, "", "en", "a"), (202, "short", "de", None)]
+    return [(*r, len(r[1]) if r[1] else 0, "mine") for r in rows], item
+
+
+@needs_tokens
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, item = small_corpus(random.Random(61))
+    schema = DOC + ", kept string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda rs: sorted(map(tuple, rs), key=repr)
+    # quality
+    good = [r for r, k in zip(rows, brute_quality([r[1:4] for r in rows], quality_rules.MIN_DOCS)) if k]
+    kept = p.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and plain(kept.collect()) == plain(good) and 40 < len(good) < len(rows) - 5
+    # near duplicates: the least of each group, null last
+    order = sorted(range(len(good)), key=lambda i: (good[i][0] is None, good[i][0] or 0))
+    groups = brute_groups(dict(enumerate(good[i][1] for i in order)), 5, 80, 100)
+    one = [good[order[i]] for i, (_, c) in groups.items() if c == i]
+    kept = p.near_duplicates(spark, spark.createDataFrame(good, schema), str(tmp_path))
+    assert kept.columns == docs.columns and plain(kept.collect()) == plain(one) and len(one) < len(good) - 10
+    # benchmark
+    index = decontaminate.Passages([(1, item)])
+    clean = [r for r in one if not any(distance(t, decontaminate.normalise(r[1])) <= e for t, e in zip(index.text, index.edits))]
+    kept = p.clean_of_benchmark(spark, spark.createDataFrame(one, schema), str(tmp_path))
+    assert kept.columns == docs.columns and plain(kept.collect()) == plain(clean) and len(clean) < len(one)
+    # mix: words of each source by water filling, each a run of its document
+    mixed = p.mixed(spark, spark.createDataFrame(clean, schema), str(tmp_path))
+    got = mixed.collect()
+    names = sorted({r[3] for r in clean if r[3]}) + [None]
+    want = water([sum(len(r[1].split()) for r in clean if r[3] == s) for s in names], [3, 1, 2])
+    for i, s in enumerate(names):
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - want[i]) <= 1
+    # a row's words are pieces of its document, each of them a run of words
+    by_id = {}
+    for r in clean:
+        by_id.setdefault(r[0], []).append(r[1].split())
+    assert mixed.columns == docs.columns and all(r.n_chars == len(r.text) and any(set(r.text.split()) <= set(w) for w in by_id[r.doc_id]) for r in got)
+    # tokens: as many as the library gives
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    count = sum(len(lib.encode(r.text, add_special_tokens=False).ids) + 1 for r in got if r.text)
+    index = p.token_ids(spark, spark.createDataFrame(got, mixed.schema), str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in index) == count and {i for r in index for i in r.doc_ids} == {r.doc_id for r in got}
+    assert p.run(spark, str(tmp_path)).count() == len(index)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
