@@ -33,8 +33,10 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, broadcast_if_small, table
 from .graph import components
@@ -273,20 +275,29 @@ def dual(x: Tree, y: Tree, rule: Rule, known: Joined, shift: int) -> Iterator[tu
                 stack.append((k - 1, u, v))
 
 
-def signatures(batches: Iterator[pd.Series], n: int, rule: Rule, seen_limit: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """(fp, n, keys, enough, have) of each text (see Rule.keys); keys are null where this task gave them for an equal set
-    already, so copies send no more rows than there are tasks."""
+#: Texts that are held as sets at once.
+TEXTS = 128
+
+
+def signatures(batches: Iterator[pa.RecordBatch], n: int, rule: Rule, seen_limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (others..., text) as (others..., fp, n, keys, enough, have) (see Rule.keys); keys are null where
+    this task gave them for an equal set already, so copies send no more rows than there are tasks."""
     seen: set[tuple[int, int]] = set()
     for b in batches:
-        texts, out = list(b), []
-        for at in range(0, len(texts), 256):
-            for s in shingle_sets(texts[at : at + 256], n):
+        for at in range(0, b.num_rows, TEXTS):
+            part = b.slice(at, TEXTS)
+            fps, sizes, keys = [], [], []
+            for s in shingle_sets(part.column("text").to_pylist(), n):
                 fp = fingerprint(s)
-                out.append((fp, len(s), *((None, None, None) if (fp, len(s)) in seen or not len(s) else rule.keys(s))))
+                fps.append(fp)
+                sizes.append(len(s))
+                keys.append(None if (fp, len(s)) in seen or not len(s) else rule.keys(s))
                 seen.add((fp, len(s)))
+            lists = [pa.array([k and k[i] for k in keys], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            others = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *lists], [*others, "fp", "n", "keys", "enough", "have"])
         if len(seen) > seen_limit:
             seen.clear()
-        yield pd.DataFrame(out, columns=["fp", "n", "keys", "enough", "have"])
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -395,11 +406,8 @@ def groups_of(docs: DataFrame, n: int, rule: Rule, scratch: Scratch, block_sets:
     """Of docs (doc_id, text, tie) the rows (doc_id, tie, fp, n) and, per fp of a set that isn't empty,
     (fp, group, component_id)."""
 
-    @F.pandas_udf("fp long, n long, keys array<long>, enough array<int>, have array<int>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return signatures(batches, n, rule)
-
-    keyed = scratch.keep(docs.select("doc_id", "tie", sign("text").alias("s")).select("doc_id", "tie", "s.*"), "keyed")
+    kind = StructType([docs.schema["doc_id"], *StructType.fromDDL("tie long, fp long, n long, keys array<long>, enough array<int>, have array<int>")])
+    keyed = scratch.keep(docs.select("doc_id", "tie", "text").mapInArrow(partial(signatures, n=n, rule=rule), kind), "keyed")
     signed = scratch.keep(keyed.select("doc_id", "tie", "fp", "n"), "signed")
     filled = signed.filter("n > 0")
     # of each set only as many of its rarest keys as are enough; keys of its own come first
