@@ -18,9 +18,11 @@ document is out when its count is beyond what the fence lets its units have by m
 chance explains (DEVIATIONS of a Poisson count and one): where a rate is mostly zero, and so
 is its fence, a single symbol or repeated line is no reason, many are.
 
-Plan: scan -> features, written once to the shared folder -> bucket counts (one small shuffle) ->
-thresholds (a row per group) -> the written rows join the thresholds. The join is a broadcast
-only if the counted thresholds are few, so texts are not shuffled.
+Plan: scan -> features -> bucket counts (one small shuffle) -> thresholds (a row per group, written
+to the shared folder) -> features beside the thresholds. Where texts are wanted, features are
+computed in either pass: a table of texts and features would take the input's size on disk. A
+caller that needs the numbers only writes those once. The join is a broadcast only if the
+counted thresholds are few, so texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -140,8 +142,8 @@ def base_failed() -> Column:
 
 
 def judged(counted: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows of ``with_counts`` with base_failed, failed_rules and kept. ``counted`` is read twice, so it
-    is best a written table."""
+    """Rows of ``with_counts`` with base_failed, failed_rules and kept. ``counted`` is computed twice, if it
+    isn't a written table."""
     # documents that fail the base rule take no part in the sketches
     cells = sketch(counted.filter(~base_failed()), [lang, source], list(RATES)).withColumnsRenamed({lang: "lang", source: "source"})
     fences = scratch.keep(thresholds(scratch.keep(cells, "sketches"), min_docs), "fences")
@@ -161,7 +163,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     on a fence is within it; long texts are counted whole.
     """
     scratch = Scratch(df.sparkSession)
-    return judged(scratch.keep(with_counts(df, text), "counted"), scratch, lang, source, min_docs)
+    return judged(with_counts(df, text), scratch, lang, source, min_docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
