@@ -134,17 +134,17 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
     width = np.dtype(kind).itemsize
     data = spark.sparkContext.broadcast(ranked)
 
-    def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
-        enc = encoding(data.value, pattern)
+    def encoded(texts: pa.Array) -> Iterator[np.ndarray | None]:
+        encode = encoding(data.value, pattern).encode_to_numpy
         for t in texts.to_pylist():
-            yield np.append(enc.encode_to_numpy(t).astype(kind), np.array(end, kind)) if t else np.empty(0, kind)
+            yield encode(t) if t else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
         for b in batches:
             for name, run in by_part(b):
                 last, at = name, at if name == last else 0
-                n = pa.array([len(x) for x in encoded(run.column("text"))], pa.int64())
+                n = pa.array([0 if x is None else len(x) + 1 for x in encoded(run.column("text"))], pa.int64())
                 yield pa.RecordBatch.from_arrays([run.column("part"), pa.array(range(at, at + run.num_rows), pa.int64()), run.column("doc_id"), n], ["part", "row", "doc_id", "n"])
                 at += run.num_rows
 
@@ -159,7 +159,7 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
     bases = spark.sparkContext.broadcast((names, stops - sizes, stops))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, stream = None, None
+        last, stream, last_id = None, None, np.array([end], kind)
         for b in batches:
             for name, run in by_part(b):
                 if name != last:
@@ -169,8 +169,10 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
                     i = int(np.searchsorted(known, name))
                     last, stream = name, Stream(length, int(starts[i]), int(ends[i]), kind)
                 for ids in encoded(run.column("text")):
-                    if stream.add(ids) > 1 << 18:
-                        yield stream.pieces(False)
+                    if ids is not None:
+                        stream.add(ids.astype(kind))
+                        if stream.add(last_id) > 1 << 18:
+                            yield stream.pieces(False)
         if stream:
             yield stream.end()
 
