@@ -47,7 +47,10 @@ def encoding(data: bytes, pattern: str):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        _encodings[len(data), pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # without any special string the library looks for the empty one, at every place of a text; this one is never
+        # allowed, so it is ordinary text where it occurs
+        never = {"<|no special token|>": max(ranks.values(), default=0) + 1}
+        _encodings[len(data), pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=never)
     return _encodings[len(data), pattern]
 
 
@@ -137,7 +140,7 @@ def materialise(df: DataFrame, ranks: str, pattern: str, end: int, path: str, do
     def encoded(texts: pa.Array) -> Iterator[np.ndarray | None]:
         encode = encoding(data.value, pattern).encode_to_numpy
         for t in texts.to_pylist():
-            yield encode(t) if t else None
+            yield encode(t, disallowed_special=()) if t else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0

@@ -443,7 +443,7 @@ def test_token_output_round_trip(spark, tmp_path, monkeypatch):
     import public_tokenizers as P
 
     rng = random.Random(10)
-    rows = [(i, " ".join(words(rng, rng.randrange(60)))) for i in range(200)] + [(None, "no id"), (7, None), (8, ""), (9, "again"), (9, "again")]
+    rows = [(i, " ".join(words(rng, rng.randrange(60)))) for i in range(200)] + [(None, "no id"), (7, None), (8, ""), (9, "again"), (9, "again"), (11, "a <|no special token|> and <|endoftext|>")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/in")
     df = spark.read.parquet(f"{tmp_path}/in")
     for source in (df, df.orderBy(F.desc("doc_id"))):
