@@ -50,7 +50,7 @@ def _pages(rows: DataFrame, item: Column, *keys: str) -> DataFrame:
 _BOOK = "'10.1000/' || doc_id"
 
 
-@query(rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '</?jats:p[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{_WS}', ' ', 'g'))
+@query(rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '</?jats:p[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '{_WS}', ' ', 'g'))
  || ' ' || chr(900 + (page_id % 60)::INT) || 'α≤ é° H₂ –“ &lt;' AS plain FROM pages""")
 def clean_markup(spark, d):
     """Plain text of markup, entities of any kind decoded."""
